@@ -1,4 +1,7 @@
 """All queries by name, with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from ostinato.plans import harmony, rhythm
+
+_MODULES = (rhythm, harmony)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
