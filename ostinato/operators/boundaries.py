@@ -91,7 +91,7 @@ def greedy_segments(boundaries: DataFrame, duration: float, target: float, short
     empty = F.array().cast("array<struct<lo: double, hi: double, reason: string>>")
 
     def step(done: Column, bounds: Column) -> Column:
-        at = F.coalesce(F.try_element_at(done, F.size(done))["hi"], F.lit(0.0))
+        at = F.coalesce(F.get(done, F.size(done) - 1)["hi"], F.lit(0.0))
         near = F.filter(bounds, lambda t: t.between(at + shortest, F.least(F.lit(duration), at + longest)))
         best = F.array_min(F.transform(near, lambda t: F.struct(F.abs(t - (at + target)).alias("d"), t.alias("t"))))["t"]
         part = lambda hi, reason: F.struct(at.alias("lo"), hi.cast("double").alias("hi"), F.lit(reason).alias("reason"))
