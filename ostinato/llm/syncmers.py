@@ -112,7 +112,7 @@ def beside_next(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ranges = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
-    splits = [-float("inf"), *sorted(set(map(float, cuts))), float("inf")]
+    splits = [-float("inf"), *sorted(set(map(float, cuts)) or {0.0}), float("inf")]
     named = docs.withColumn("_id", F.col("doc_id").cast("double"))
     # Null ids come last: their range is below all others.
     dealt = Bucketizer(splits=splits, inputCol="_id", outputCol="_bucket", handleInvalid="keep").transform(named)

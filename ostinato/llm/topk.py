@@ -31,7 +31,7 @@ def whole_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
 
 def _matrix(column, dim: int) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
 def pivot_table(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
@@ -103,9 +103,7 @@ def top_k(vectors: DataFrame, is_query, k: int = TOP, id_col: str = "vec_id", ve
         if a.num_rows and b.num_rows:
             dim = a.column("dim")[0].as_py()
             own, ids = a.column("vec_id").to_pylist(), b.column("vec_id").to_numpy()
-            parts = [_matrix(t.column(c), d) for t in (a, b) for c, d in (("v", dim), ("to_pivots", len(pivots.get(dim, []))))] if dim else []
-            if not dim:
-                parts = [np.zeros((t.num_rows, n)) for t in (a, b) for n in (0, 0)]
+            parts = [_matrix(t.column(c), d) for t in (a, b) for c, d in (("v", dim), ("to_pivots", len(pivots.get(dim, []))))]
             for i, found, scores in best_of_block(np.array(own), parts[0], parts[1], ids, parts[2], parts[3], k):
                 out.append((a.column("asker")[i].as_py(), own[i], found, scores))
         n = [len(x[2]) for x in out]
