@@ -1,7 +1,7 @@
 """All queries by name, with their SQL."""
 
-from ostinato.plans import events, harmony, records, rhythm
+from ostinato.plans import corpus, events, harmony, records, rhythm
 
-_MODULES = (rhythm, harmony, events, records)
+_MODULES = (rhythm, harmony, events, records, corpus)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
