@@ -113,9 +113,13 @@ def _nearness(ratio: Column, targets: list[float]) -> Column:
     return F.array_min(F.array(*[F.abs(ratio - t) for t in targets]))
 
 
-def subdivisions(gaps: DataFrame) -> DataFrame:
-    """One row per region: straight, triplet, swing, free, random or sparse, with scores, confidence and ambiguity."""
-    base = gaps.where("gap > 0").join(pulses(gaps).select(*REGION, "pulse"), REGION)
+def subdivisions(gaps: DataFrame, pulse: float | None = None) -> DataFrame:
+    """One row per region: straight, triplet, swing, free, random or sparse, with scores, confidence and ambiguity.
+
+    Intervals are measured in pulses: the given one, or each region's own.
+    """
+    own = pulses(gaps).select(*REGION, F.col("pulse") if pulse is None else F.lit(pulse).alias("pulse"))
+    base = gaps.where("gap > 0").join(own, REGION)
     ratio = F.when(F.col("pulse") > 0, F.col("gap") / F.col("pulse"))
     third = 1.0 / 3.0
     scored = base.groupBy(*REGION).agg(
