@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -25,8 +25,11 @@ from pyspark.sql import functions as F
 from ostinato.llm.common import as_texts, cut, map_arrow, require, small_batches
 
 BLOCK, NEIGHBOURS, THRESHOLD = 64, 15, 0.3
-MAX_LABELLED, MAX_EXAMPLES, MAX_TERMS = 20_000, 4_096, 2_048
+MAX_LABELLED, MAX_EXAMPLES, MAX_TERMS = 20_000, 2_048, 1_024
+#: Of some million terms about one passes this log-likelihood ratio by chance.
+LEAST_RATIO = 30
 PREFIXES = (4, 5, 6)
+KEPT_ANSWERS = 50_000
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -80,6 +83,7 @@ class Index:
     prior: float
     empty: float
     curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    answers: dict = field(default_factory=dict)
 
     def weights(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         terms = np.array(sorted(counts), np.int64)
@@ -117,8 +121,14 @@ class Index:
         return float((weight @ self.labels[at] + self.prior / 4) / (weight.sum() + 0.25)), at, near
 
     def score(self, counts: dict[int, int]) -> tuple[float, np.ndarray, np.ndarray]:
-        raw, at, near = self.vote(counts)
-        return float(np.clip(np.interp(raw, *self.curve), 0, 1)) if counts else raw, at, near
+        """(score, nearest examples, cosines); texts with the same terms, often one or two, ask once."""
+        key = tuple(sorted(counts.items()))
+        if key not in self.answers:
+            if len(self.answers) >= KEPT_ANSWERS:
+                self.answers.clear()
+            raw, at, near = self.vote(counts)
+            self.answers[key] = float(np.clip(np.interp(raw, *self.curve), 0, 1)) if counts else raw, at[:3], near[:3]
+        return self.answers[key]
 
 
 def rising(raw: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +171,7 @@ def informative_terms(labelled: DataFrame, max_terms: int) -> list[tuple[str, fl
     a, b, m, n = F.col("a"), F.col("b"), F.lit(float(toxic)), F.lit(float(max(clean, 1)))
     both = (a + b) / (m + n)
     ratio = 2 * (log(a, m, a / m) + log(b, n, b / n) - log(a, m, both) - log(b, n, both))
-    typical = counted.where("a >= 3").where(a / m > b / n).select("term", ratio.alias("ratio")).where("ratio > 15")
+    typical = counted.where("a >= 3").where(a / m > b / n).select("term", ratio.alias("ratio")).where(F.col("ratio") > LEAST_RATIO)
     return [(r["term"], r["ratio"]) for r in typical.orderBy(F.desc("ratio"), "term").limit(max_terms).collect()]
 
 
@@ -188,7 +198,9 @@ def build_index(terms: list[str], frequencies: np.ndarray, documents: int, count
     idf = np.log((1 + documents) / (1 + frequencies)) + 1
     nothing = [(y * n, n) for _, y, c, n in counted if not c]
     empty = (sum(y for y, _ in nothing) + prior) / (sum(n for _, n in nothing) + 1)
-    held = [x for x in counted if x[2]]
+    # Examples with the same leading term lie together, so that a block's bound is low for texts of another kind.
+    lead = lambda counts: max(counts, key=lambda t: (idf[t] * (1 + np.log(counts[t])), t))
+    held = sorted((x for x in counted if x[2]), key=lambda x: (lead(x[2]), sorted(x[2].items()), str(x[0])))
     blocks = -(-max(1, len(held)) // BLOCK)
     labels, stands_for = np.array([x[1] for x in held], np.float64), np.array([x[3] for x in held], np.float64)
     index = Index(vocabulary, idf, labels, stands_for, [x[0] for x in held], [], np.zeros((len(terms), blocks + 1), np.int64), np.zeros((len(terms), blocks)), prior, empty)
@@ -220,7 +232,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     taught = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("toxic"))
     chosen = cut(taught.orderBy(_hash_order("_id"), "_id").limit(max_labelled), "labels")
     # At most max_labelled ids and labels are broadcast.
-    labelled = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).select(F.col("_id").alias("doc_id"), "toxic", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    labelled = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["_id"]).select("doc_id", "toxic", "text")
     labelled = cut(labelled, "labelled")
     share = labelled.agg(F.avg("toxic")).first()[0] or 0.0
     terms = sorted(t for t, _ in informative_terms(labelled, max_terms))
