@@ -57,8 +57,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         own, at, starts, data = encoder(tokenizer), [], [], []
-        for i, text in enumerate(as_texts(batch.column(1))):
-            ids = np.append(np.frombuffer(own.ids(text), own.kind), END).astype("<u4").tobytes()
+        for i, known in enumerate(own.ids_of(as_texts(batch.column(1)))):
+            ids = np.append(np.frombuffer(known, own.kind), END).astype("<u4").tobytes()
             for start in range(0, len(ids), 4 * capacity):
                 at.append(i)
                 starts.append(start // 4)

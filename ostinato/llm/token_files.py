@@ -75,8 +75,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
             for batch in batches:
                 ids.extend(batch.column(0).fill_null(0).to_pylist())
                 nulls.append(np.asarray(batch.column(0).is_null(), dtype=np.uint8))
-                for text in as_texts(batch.column(1)):
-                    data = own.ids(text) + end
+                for data in own.ids_of(as_texts(batch.column(1))):
+                    data += end
                     offsets.append(offsets[-1] + len(data) // size)
                     yield data
 

@@ -26,8 +26,7 @@ from ostinato.llm.common import as_texts, cut, map_arrow, require, small_batches
 
 BLOCK, NEIGHBOURS, THRESHOLD = 64, 15, 0.3
 MAX_LABELLED, MAX_EXAMPLES, MAX_TERMS = 20_000, 2_048, 1_024
-#: Of some million terms about one passes this log-likelihood ratio by chance.
-LEAST_RATIO = 30
+LEAST_PURITY = 0.5
 PREFIXES = (4, 5, 6)
 KEPT_ANSWERS = 50_000
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -171,7 +170,11 @@ def informative_terms(labelled: DataFrame, max_terms: int) -> list[tuple[str, fl
     a, b, m, n = F.col("a"), F.col("b"), F.lit(float(toxic)), F.lit(float(max(clean, 1)))
     both = (a + b) / (m + n)
     ratio = 2 * (log(a, m, a / m) + log(b, n, b / n) - log(a, m, both) - log(b, n, both))
-    typical = counted.where("a >= 3").where(a / m > b / n).select("term", ratio.alias("ratio")).where(F.col("ratio") > LEAST_RATIO)
+    # Of the n terms that are as frequent, less than one should pass by chance: the ratio is over twice the log of 2 n.
+    counted = cut(counted.withColumn("df", a + b), "terms")
+    alike = counted.groupBy("df").agg((2 * F.log(2.0 * F.count("*"))).alias("least"))
+    typical = counted.where("a >= 3").where(a / F.col("df") >= LEAST_PURITY).where(a / m > b / n).join(alike, "df")
+    typical = typical.select("term", ratio.alias("ratio"), "least").where("ratio > least")
     return [(r["term"], r["ratio"]) for r in typical.orderBy(F.desc("ratio"), "term").limit(max_terms).collect()]
 
 
