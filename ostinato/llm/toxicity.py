@@ -1,20 +1,24 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
-Terms are a text's words and the beginnings of its words, lower-cased. The index holds the terms that tell toxic examples from
-others (log-likelihood ratio), each with the examples that have it, in blocks with the largest weight of each block. A text visits
-blocks by their upper bound and stops when no block can better its k-th best cosine, which is then exact. Votes are weighted by
-similarity and shrunk to the prior, then put through a monotone calibration that the examples themselves give.
-
-Fitting looks at ``max_labelled`` labelled rows and keeps ``max_examples`` of them, chosen by hash, and ``max_terms`` terms; these
-bounds are parameters. Document frequencies are counted over all documents, and all documents are scored.
+Terms are a text's words and the beginnings of its words, lower-cased. The index holds every example with all of its terms, in blocks
+with the largest weight of each block. A text visits blocks by their upper bound and stops when no block can better its k-th best
+cosine, which is then exact. A second list of postings holds only the terms that lean toxic (log-likelihood ratio), so that a few
+telling words in a long text aren't drowned by the rest; it adds votes and takes none away. Votes are weighted by similarity and
+shrunk to the prior, then put through a monotone calibration that the examples themselves give.
+
+Fitting looks at ``max_labelled`` labelled rows and keeps ``max_examples`` of them, chosen by hash, and ``max_terms`` leaning terms;
+these bounds are parameters. Document frequencies are counted over all documents, and all documents are scored. A term that no
+example has counts in a text's length as one of a single document; this scales all its cosines alike and changes no order.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,101 +42,164 @@ def text_terms(text: str) -> set[str]:
     return words.union(*({w[:n] + "~" for w in words if len(w) > n} for n in PREFIXES))
 
 
+def text_counts(text: str) -> dict[str, int]:
+    """How often each term of a text occurs in it."""
+    words = _WORDS(text.lower())
+    starts = [[w[:size] + "~" for w in words if len(w) > size] for size in PREFIXES]
+    return dict(Counter(chain(words, *starts)))
+
+
 class Vocabulary:
     """Which of a text's terms are in the index, and how often."""
 
     def __init__(self, terms: list[str]):
         self.number = {t: i for i, t in enumerate(terms)}
-        self.words = {t: i for t, i in self.number.items() if not t.endswith("~")}
-        self.starts = {n: {t[:-1]: i for t, i in self.number.items() if t.endswith("~") and len(t) == n + 1} for n in PREFIXES}
+
+    def read(self, text: str) -> tuple[dict[int, int], list[int]]:
+        """({term number: count}, the counts of terms that aren't in the index)."""
+        counts = text_counts(text)
+        hits = self.number.keys() & counts.keys()
+        return {self.number[t]: counts[t] for t in hits}, [n for t, n in counts.items() if t not in hits]
 
     def counts(self, text: str) -> dict[int, int]:
-        words = _WORDS(text.lower())
-        distinct = set(words)
-        hits = self.words.keys() & distinct
-        for starts in self.starts.values():
-            if starts:
-                n = len(next(iter(starts)))
-                if not starts.keys().isdisjoint({w[:n] for w in distinct}):
-                    hits |= {w for w in distinct if len(w) > n and w[:n] in starts}
-        if not hits:
-            return {}
-        found: Counter[int] = Counter()
-        for word, n in Counter(filter(hits.__contains__, words)).items():
-            if word in self.words:
-                found[self.words[word]] += n
-            for size, starts in self.starts.items():
-                if len(word) > size and word[:size] in starts:
-                    found[starts[word[:size]]] += n
-        return dict(found)
+        return self.read(text)[0]
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges in turn, and each range's length."""
+    sizes = ends - starts
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes), sizes
+
+
+class Postings:
+    """Examples by term. An entry is a term's part in one block: its block, its largest weight, and where its postings start."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], terms: int):
+        """rows: (terms, weights) of each example."""
+        sizes = [len(t) for t, _ in rows]
+        at = np.repeat(np.arange(len(rows)), sizes)
+        term = np.concatenate([t for t, _ in rows] + [np.empty(0, np.int64)])
+        weight = np.concatenate([w for _, w in rows] + [np.empty(0)])
+        order = np.lexsort((at, term))
+        at, term, weight = at[order], term[order], weight[order]
+        self.examples, self.at, self.weight = len(rows), at.astype(np.int32), weight
+        self.term_starts = np.searchsorted(term, np.arange(terms + 1)).astype(np.int32)
+        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (at[1:] // BLOCK != at[:-1] // BLOCK)][: len(term)])
+        self.entry_starts = np.searchsorted(term[first], np.arange(terms + 1)).astype(np.int32)
+        self.entry_block = (at[first] // BLOCK).astype(np.int32)
+        self.entry_max = np.maximum.reduceat(weight, first) if len(first) else np.empty(0)
+        self.starts = np.r_[first, len(term)].astype(np.int32)
+
+    def of_term(self, term: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.term_starts[term], self.term_starts[term + 1]
+        return self.at[a:b], self.weight[a:b]
+
+    def nearest(self, terms: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the k nearest with a cosine over 0, ties to the smaller number; exact."""
+        entries, sizes = _ranges(self.entry_starts[terms], self.entry_starts[terms + 1])
+        value, block = np.repeat(values, sizes), self.entry_block[entries]
+        bounds = np.bincount(block, value * self.entry_max[entries], -(-self.examples // BLOCK))
+        waiting = np.argsort(-bounds, kind="stable")
+        best_at, best, step = np.empty(0, np.int64), np.empty(0), 8
+        while True:
+            least = best[-1] - 1e-9 if len(best) == k else 0.0
+            waiting = waiting[(bounds[waiting] > 0) & (bounds[waiting] >= least)]
+            if not len(waiting):
+                return best_at, best
+            visited = np.zeros(len(bounds), bool)
+            visited[waiting[:step]] = True
+            now, waiting, step = np.flatnonzero(visited[block]), waiting[step:], step * 4
+            places, lengths = _ranges(self.starts[entries[now]], self.starts[entries[now] + 1])
+            found = np.bincount(self.at[places], np.repeat(value[now], lengths) * self.weight[places], self.examples)
+            here = np.flatnonzero(found)
+            if len(here) > k:  # those that can't be among the k best aren't sorted
+                here = here[found[here] >= np.partition(found[here], -k)[-k] - 1e-8]
+            best_at, best = np.r_[best_at, here], np.r_[best, found[here]]
+            order = np.lexsort((best_at, -best.round(9)))[:k]
+            best_at, best = best_at[order], best[order]
 
 
 @dataclass
 class Index:
-    """The examples' postings by term: sorted example numbers, weights, where each block starts, and each block's largest weight."""
+    """The examples' postings over all terms, and over the leaning terms alone."""
 
     vocabulary: Vocabulary
     idf: np.ndarray
+    unseen: float
+    leans: np.ndarray
     labels: np.ndarray
     stands_for: np.ndarray
     ids: list
-    postings: list[tuple[np.ndarray, np.ndarray]]
-    starts: np.ndarray
-    block_max: np.ndarray
+    whole: Postings
+    leaning: Postings
     prior: float
-    empty: float
     curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
     answers: dict = field(default_factory=dict)
 
-    def weights(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array(sorted(counts), np.int64)
-        values = (1 + np.log([counts[t] for t in terms.tolist()])) * self.idf[terms]
-        return terms, values / np.sqrt((values**2).sum())
+    @property
+    def postings(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [self.whole.of_term(t) for t in range(len(self.idf))]
 
-    def nearest(self, terms: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a cosine over 0, ties to the smaller number; exact."""
-        bounds = values @ self.block_max[terms]
-        best_at, best = np.empty(0, np.int64), np.empty(0)
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or len(best) == k and bounds[block] < best[-1] - 1e-9:
-                break
-            found = np.zeros(BLOCK)
-            for term, value in zip(terms.tolist(), values.tolist()):
-                a, b = self.starts[term, block], self.starts[term, block + 1]
-                if a < b:
-                    at, weight = self.postings[term]
-                    found[at[a:b] - block * BLOCK] += value * weight[a:b]
-            here = np.flatnonzero(found)
-            best_at, best = np.r_[best_at, here + block * BLOCK], np.r_[best, found[here]]
-            order = np.lexsort((best_at, -best.round(9)))[:k]
-            best_at, best = best_at[order], best[order]
-        return best_at, best
+    def weights(self, counts: dict[int, int], other: list[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, weights) of length one, with the terms outside the index counted in the length."""
+        terms, values = _raw_weights(counts, self.idf)
+        return terms, values / _length(values, other, self.unseen)
 
-    def vote(self, counts: dict[int, int], k: int = NEIGHBOURS, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """(share of toxic votes, examples, cosines). A vote weighs its cosine squared times the labelled rows that it stands for; the
-        prior weighs a quarter of a vote."""
-        if not counts:
-            return self.empty, np.empty(0, np.int64), np.empty(0)
-        at, near = self.nearest(*self.weights(counts), k + (without >= 0))
-        if without >= 0:
-            near, at = near[at != without][:k], at[at != without][:k]
-        weight = near**2 * self.stands_for[at]
-        return float((weight @ self.labels[at] + self.prior / 4) / (weight.sum() + 0.25)), at, near
-
-    def score(self, counts: dict[int, int]) -> tuple[float, np.ndarray, np.ndarray]:
-        """(score, nearest examples, cosines); texts with the same terms, often one or two, ask once."""
-        key = tuple(sorted(counts.items()))
+    def nearest(self, terms: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.whole.nearest(terms, values, k)
+
+    def near_leaning(self, terms: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest by leaning terms alone; texts with the same, often one or two, ask once."""
+        some = self.leans[terms]
+        if not some.any():
+            return np.empty(0, np.int64), np.empty(0)
+        terms, values = terms[some], values[some]
+        values = values / np.sqrt((values**2).sum())
+        key = (k, terms.tobytes(), values.round(12).tobytes())
         if key not in self.answers:
             if len(self.answers) >= KEPT_ANSWERS:
                 self.answers.clear()
-            raw, at, near = self.vote(counts)
-            self.answers[key] = float(np.clip(np.interp(raw, *self.curve), 0, 1)) if counts else raw, at[:3], near[:3]
+            self.answers[key] = self.leaning.nearest(terms, values, k)
         return self.answers[key]
 
+    def vote(self, counts: dict[int, int], other: list[int] = (), k: int = NEIGHBOURS, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+        """(share of toxic votes, nearest examples by all terms, cosines). By leaning terms a vote weighs its cosine squared; by all
+        terms it grows without bound as the cosine nears one, so that a copy decides; both count the labelled rows that an example
+        stands for. The prior weighs a quarter of a vote."""
+        if not counts:
+            return self.prior, np.empty(0, np.int64), np.empty(0)
+        terms, values = self.weights(counts, other)
+        at, near = self.nearest(terms, values, k + (without >= 0))
+        lean_at, lean = self.near_leaning(terms, values, k + (without >= 0))
+        near, at = near[at != without][:k], at[at != without][:k]
+        lean, lean_at = lean[lean_at != without][:k], lean_at[lean_at != without][:k]
+        close = near**2
+        weight = np.r_[close**4 / (np.maximum(1 - close, 0) + 1e-4), lean**2] * self.stands_for[np.r_[at, lean_at]]
+        raw = float((weight @ self.labels[np.r_[at, lean_at]] + self.prior / 4) / (weight.sum() + 0.25))
+        return round(raw, 2), at, near  # votes of far examples alone move the share by less, and few labels can't calibrate that
+
+    def score(self, text: str) -> tuple[float, np.ndarray, np.ndarray]:
+        """(score, nearest examples, cosines)."""
+        counts, other = self.vocabulary.read(text)
+        raw, at, near = self.vote(counts, other)
+        return float(np.clip(np.interp(raw, *self.curve), 0, 1)) if counts else raw, at[:3], near[:3]
+
+
+def _raw_weights(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    terms = np.fromiter(counts.keys(), np.int64, len(counts))
+    order = np.argsort(terms)
+    tf = np.fromiter(counts.values(), np.float64, len(counts))
+    return terms[order], (1 + np.log(tf[order])) * idf[terms[order]]
+
+
+def _length(values: np.ndarray, other: list[int], unseen: float) -> float:
+    rest = ((1 + np.log(np.array(other, np.float64))) * unseen) if len(other) else np.empty(0)
+    return float(np.sqrt((values**2).sum() + (rest**2).sum())) or 1.0
+
 
 def rising(raw: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rising curve nearest to the labels (pool adjacent violators), as points for interpolation."""
-    order = np.argsort(raw, kind="stable")
+    """The rising curve nearest to the labels (pool adjacent violators), as points for interpolation. Equal raw values are one pool."""
+    order = np.lexsort((-labels, raw))
     pools: list[list[float]] = []  # weight of label 1, weight, first raw, last raw
     for x, y, w in zip(raw[order].tolist(), labels[order].tolist(), weights[order].tolist()):
         pools.append([y * w, w, x, x])
@@ -182,41 +249,40 @@ def document_frequencies(docs: DataFrame, terms: list[str], text_col: str) -> tu
     """In how many of all documents each term occurs, and how many documents there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, found, n = Vocabulary(terms), Counter(), 0
+        vocabulary, found, n = Vocabulary(terms), np.zeros(len(terms), np.int64), 0
         for batch in batches:
             for text in as_texts(batch.column(0)):
-                found.update(vocabulary.counts(text).keys())
+                found[[vocabulary.number[t] for t in vocabulary.number.keys() & text_terms(text)]] += 1
             n += batch.num_rows
-        found[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64())], ["term", "n"])
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1], pa.int32()), pa.array(np.r_[found[some], n], pa.int64())], ["term", "n"])
 
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    by_term = {r["term"]: r["n"] for r in counted.collect()}  # a row for each term of the index
-    return np.array([by_term.get(i, 0) for i in range(len(terms))], np.float64), by_term.get(-1, 0)
+    got = counted.toArrow()  # a row for each term of the index
+    term, n = got["term"].to_numpy(), got["n"].to_numpy()
+    frequencies = np.zeros(len(terms))
+    frequencies[term[term >= 0]] = n[term >= 0]
+    return frequencies, int(n[term < 0].sum())
 
 
-def build_index(terms: list[str], frequencies: np.ndarray, documents: int, counted: list[tuple], prior: float) -> Index:
+def build_index(terms: list[str], leaning: list[str], frequencies: np.ndarray, documents: int, counted: list[tuple], prior: float) -> Index:
     """counted: (id, label, {term number: count}, labelled rows that it stands for) of each example, a bounded list."""
     vocabulary = Vocabulary(terms)
     idf = np.log((1 + documents) / (1 + frequencies)) + 1
-    nothing = [(y * n, n) for _, y, c, n in counted if not c]
-    empty = (sum(y for y, _ in nothing) + prior) / (sum(n for _, n in nothing) + 1)
-    # Examples with the same leading term lie together, so that a block's bound is low for texts of another kind.
-    lead = lambda counts: max(counts, key=lambda t: (idf[t] * (1 + np.log(counts[t])), t))
-    held = sorted((x for x in counted if x[2]), key=lambda x: (lead(x[2]), sorted(x[2].items()), str(x[0])))
-    blocks = -(-max(1, len(held)) // BLOCK)
+    leans = np.zeros(len(terms), bool)
+    leans[[vocabulary.number[t] for t in leaning]] = True
+    # Examples with the same commonest term, which tells the language, lie together, so that a block's bound is low for other texts.
+    lead = lambda counts: max(counts, key=lambda t: (counts[t], frequencies[t], t), default=-1)
+    held = sorted(counted, key=lambda x: (lead(x[2]), x[1], str(x[0])))
     labels, stands_for = np.array([x[1] for x in held], np.float64), np.array([x[3] for x in held], np.float64)
-    index = Index(vocabulary, idf, labels, stands_for, [x[0] for x in held], [], np.zeros((len(terms), blocks + 1), np.int64), np.zeros((len(terms), blocks)), prior, empty)
-    lists: list[tuple[list, list]] = [([], []) for _ in terms]
-    for at, row in enumerate(held):
-        for term, value in zip(*(x.tolist() for x in index.weights(row[2]))):
-            lists[term][0].append(at)
-            lists[term][1].append(value)
-    for term, (at, weight) in enumerate(lists):
-        at, weight = np.array(at, np.int64), np.array(weight)
-        index.postings.append((at, weight))
-        index.starts[term] = np.searchsorted(at, np.arange(blocks + 1) * BLOCK)
-        np.maximum.at(index.block_max[term], at // BLOCK, weight)
+    rows, some = [], []
+    for _, _, counts, _ in held:
+        at, values = _raw_weights(counts, idf)
+        rows.append((at, values / _length(values, [], 0.0)))
+        own = leans[at]
+        some.append((at[own], values[own] / _length(values[own], [], 0.0)))
+    unseen = float(np.log((1 + documents) / 2) + 1)
+    index = Index(vocabulary, idf, unseen, leans, labels, stands_for, [x[0] for x in held], Postings(rows, len(terms)), Postings(some, len(terms)), prior)
     if held:
         raw = np.array([index.vote(row[2], without=at)[0] for at, row in enumerate(held)])
         index.curve = rising(np.r_[0.0, raw, 1.0], np.r_[0.0, labels, 1.0], np.r_[1.0, stands_for, 1.0])
@@ -239,27 +305,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     labelled = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["_id"]).select("doc_id", "toxic", "text")
     labelled = cut(labelled, "labelled")
     share = labelled.agg(F.avg("toxic")).first()[0] or 0.0
-    terms = sorted(t for t, _ in informative_terms(labelled, max_terms))
+    leaning = sorted(t for t, _ in informative_terms(labelled, max_terms))
+    examples = example_counts(labelled, max_examples)
+    terms = sorted({t for _, _, counts, _ in examples for t in counts}.union(leaning))
     frequencies, documents = document_frequencies(docs, terms, text_col)
-    return build_index(terms, frequencies, documents, example_counts(labelled, terms, max_examples), share)
+    number = {t: i for i, t in enumerate(terms)}
+    numbered = [(i, y, {number[t]: n for t, n in counts.items()}, each) for i, y, counts, each in examples]
+    return build_index(terms, leaning, frequencies, documents, numbered, share)
 
 
-def example_counts(labelled: DataFrame, terms: list[str], max_examples: int) -> list[tuple]:
-    """(id, label, counts, rows that it stands for) of examples, half of them toxic where there are enough; texts stay on executors."""
+def example_counts(labelled: DataFrame, max_examples: int) -> list[tuple]:
+    """(id, label, {term: count}, rows that it stands for) of examples, half of them toxic where there are enough; texts stay on
+    executors."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(terms)
-        counts = [vocabulary.counts(t) for t in as_texts(batch.column(2))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c) for c in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
+        counts = [text_counts(t) for t in as_texts(batch.column(2))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
 
     id_type = labelled.schema["doc_id"].dataType.simpleString()
-    counted = cut(map_arrow(labelled.select("doc_id", "toxic", "text"), run, f"doc_id {id_type}, toxic int, terms array<int>, counts array<int>"), "examples")
     rows = []
     for label in (1, 0):
-        own = counted.where(F.col("toxic") == label)
-        part = own.orderBy(_hash_order("doc_id"), "doc_id").limit(max_examples // 2).collect()
-        each = own.count() / max(1, len(part))
-        rows += [(r["doc_id"], r["toxic"], dict(zip(r["terms"], r["counts"])), each) for r in part]
+        own = labelled.where(F.col("toxic") == label)
+        chosen = cut(own.orderBy(_hash_order("doc_id"), "doc_id").limit(max_examples // 2), "examples")
+        counted = map_arrow(chosen.select("doc_id", "toxic", "text"), run, f"doc_id {id_type}, toxic int, terms array<string>, counts array<int>").toArrow()
+        each = own.count() / max(1, counted.num_rows)
+        for i, y, terms, counts in zip(*(counted[c] for c in ("doc_id", "toxic", "terms", "counts"))):
+            rows.append((i.as_py(), y.as_py(), dict(zip(map(sys.intern, terms.as_py()), counts.as_py())), each))
     return rows
 
 
@@ -269,7 +340,7 @@ def score_column(index: Index):
 
     @F.pandas_udf("score double, evidence array<struct<example: string, toxic: int, cosine: double>>")
     def scored(texts: pd.Series) -> pd.DataFrame:
-        out = [shared.score(shared.vocabulary.counts(t or "")) for t in texts]
+        out = [shared.score(t or "") for t in texts]
         evidence = [[{"example": str(shared.ids[a]), "toxic": int(shared.labels[a]), "cosine": float(c)} for a, c in zip(at[:3].tolist(), near[:3].tolist())] for _, at, near in out]
         return pd.DataFrame({"score": [s for s, _, _ in out], "evidence": evidence})
 

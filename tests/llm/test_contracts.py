@@ -288,6 +288,20 @@ def test_toxicity_on_held_out_rows(spark):
     assert got[-3]["evidence"][0]["toxic"] == 1
 
 
+def test_copies_of_examples_meet_at_cosine_one(spark):
+    """Also where a text has no term that leans toxic: all examples are in the index, with all of their terms."""
+    docs, _ = labelled(spark, 400)
+    calm = "another calm line about bread and copper kettles on a shelf"
+    odd = "nothing here is said of anyone but seldom words gather quietly around an unremarked harbour"
+    copies = spark.createDataFrame([(1000, odd, 1), (1001, odd, None), (1002, calm, 0), (1003, calm, None)], "doc_id long, text string, toxic int")
+    docs = docs.unionByName(copies)
+    index = toxicity.fit(docs.drop("toxic"), docs.where("toxic is not null").select("doc_id", "toxic"))
+    got = {r["doc_id"]: r for r in toxicity.score(docs.where("doc_id > 1000").select("doc_id", "text"), index).collect()}
+    for copy, example, toxic in ((1001, "1000", 1), (1003, "1002", 0)):
+        assert got[copy]["predicted"] == toxic and got[copy]["evidence"][0]["example"] == example
+        assert got[copy]["evidence"][0]["cosine"] == pytest.approx(1)
+
+
 def test_toxicity_without_labels(spark):
     docs, _ = labelled(spark, 20)
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
