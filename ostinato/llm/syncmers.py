@@ -65,6 +65,13 @@ def likeness(a: np.ndarray, b: np.ndarray, bottom: int = BOTTOM) -> float:
     return common / union if union else 1.0
 
 
+def true_likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard likeness of two texts' distinct anchors; two empty texts: 1."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    union = len(a) + len(b) - common
+    return common / union if union else 1.0
+
+
 def as_string(values: np.ndarray) -> str:
     return values.astype(">u4").tobytes().hex()
 
@@ -139,13 +146,13 @@ def beside_next(docs: DataFrame) -> DataFrame:
 def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edit, whose last third is the next text's beginning (descending ids, in a circle).
 
-    One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Null texts are
-    empty; the order is by descending id, null ids last, equal ids by text. A lone document follows itself. Repeated rows each give
+    One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_anchors. The
+    fingerprints are sketches; near_edited and near_next compare all n_anchors distinct anchors of the text. Null texts are empty; the order is by descending id, null ids last, equal ids by text. A lone document follows itself. Repeated rows each give
     a row. An empty table gives none. Other columns are not read.
     """
     require(docs, id_col, text_col)
     small_batches(docs.sparkSession)
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_anchors"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = None, []
@@ -154,10 +161,10 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 if extra and held is None:
                     continue  # rows with the same id as the next range's first
                 places, hashes = chosen_kmers(text)
-                print_ = sketch(or_itself(text, places, hashes)[1])
+                anchors = np.unique(or_itself(text, places, hashes)[1])
                 if held is not None and held[0] == bucket:
-                    rows.append(_row(held, text, print_))
-                held = None if extra else (bucket, doc_id, text, places, hashes, print_)
+                    rows.append(_row(held, text, anchors))
+                held = None if extra else (bucket, doc_id, text, places, hashes, anchors)
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
             rows = []
@@ -165,9 +172,9 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = docs.schema[id_col].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("n_chars", pa.int64()), *((n, pa.string()) for n in names[2:5]), *((n, pa.float64()) for n in names[5:])])
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("n_chars", pa.int64()), *((n, pa.string()) for n in names[2:5]), *((n, pa.float64()) for n in names[5:7]), ("n_anchors", pa.int64())])
     source = beside_next(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
-    return source.select("doc_id", "text", "bucket", "extra").mapInArrow(run, f"doc_id {kind.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return source.select("doc_id", "text", "bucket", "extra").mapInArrow(run, f"doc_id {kind.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_anchors long")
 
 
 def edited_text(text: str, following: str) -> str:
@@ -185,16 +192,17 @@ def edited_hashes(text: str, edited: str, places: np.ndarray, hashes: np.ndarray
     return or_itself(edited, np.r_[places[old], new_places + stays - K + 1], np.r_[hashes[old], new])[1]
 
 
-def _row(held: tuple, following: str, next_print: np.ndarray) -> dict:
+def _row(held: tuple, following: str, next_anchors: np.ndarray) -> dict:
     _, doc_id, text, places, hashes, own = held
     edited = edited_text(text, following)
-    edited_print = own if edited == text else sketch(edited_hashes(text, edited, places, hashes))
+    edited_anchors = own if edited == text else np.unique(edited_hashes(text, edited, places, hashes))
     return {
         "doc_id": doc_id,
         "n_chars": len(text),
         "edited_sha256": hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(),
-        "fingerprint": as_string(own),
-        "edited_fingerprint": as_string(edited_print),
-        "near_edited": likeness(own, edited_print),
-        "near_next": likeness(own, next_print),
+        "fingerprint": as_string(sketch(own)),
+        "edited_fingerprint": as_string(sketch(edited_anchors)),
+        "near_edited": true_likeness(own, edited_anchors),
+        "near_next": true_likeness(own, next_anchors),
+        "n_anchors": len(own),
     }

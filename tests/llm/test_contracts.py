@@ -92,6 +92,15 @@ def test_likeness_follows_the_true_share(docs):
     assert 0.3 < got[13]["near_edited"] < 0.75 and got[13]["near_next"] < got[13]["near_edited"]
 
 
+def test_likeness_is_that_of_all_anchors(docs, rows):
+    """Of long texts too, whose sketch holds a small part of their anchors."""
+    got = next(r for r in syncmers.edit_likeness(docs).where("doc_id = 13 and n_chars > 50000").collect())
+    after = next(r[1] for r in rows if r[0] == 12)
+    own, edited, following = (set(syncmers.closed_syncmers(x)[1].tolist()) for x in (rows[13][1], syncmers.edited_text(rows[13][1], after), after))
+    assert len(own) > 10 * syncmers.BOTTOM and got["n_anchors"] == len(own)
+    assert got["near_edited"] == len(own & edited) / len(own | edited) and got["near_next"] == len(own & following) / len(own | following)
+
+
 def test_anchors_meet_where_texts_do(spark):
     shared = "a passage that both of these documents hold in the middle of their own words, word for word"
     two = spark.createDataFrame([(1, "first comes this " + shared), (2, "quite another beginning, much longer, " + shared + " end")], "doc_id long, text string")
