@@ -1,23 +1,24 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
-Terms are a text's words and the beginnings of its words, lower-cased. The index holds every example with all of its terms, in blocks
-with the largest weight of each block. A text visits blocks by their upper bound and stops when no block can better its k-th best
-cosine, which is then exact. A second list of postings holds only the terms that lean toxic (log-likelihood ratio), so that a few
-telling words in a long text aren't drowned by the rest; it adds votes and takes none away. Votes are weighted by similarity and
-shrunk to the prior, then put through a monotone calibration that the examples themselves give.
-
-Fitting looks at ``max_labelled`` labelled rows and keeps ``max_examples`` of them, chosen by hash, and ``max_terms`` leaning terms;
-these bounds are parameters. Document frequencies are counted over all documents, and all documents are scored. A term that no
-example has counts in a text's length as one of a single document; this scales all its cosines alike and changes no order.
+Terms are a text's words and the beginnings of its words, lower-cased; no term is left out. A term's weight in a text is TF-IDF in
+its divergence form, 2 (tf ln(tf / e) - (tf - e)) with e the count that the term's share of all documents' terms makes one expect
+(0 if tf is no larger), times a factor for how differently toxic and clean rows use the term: the root of its log-likelihood ratio
+and a small floor. The index holds every example with its whole vector, in blocks with the largest weight of each block. A text visits
+blocks by their upper bound and stops when no block can better its k-th best cosine, so its neighbours are exact. A vote weighs its
+cosine to the fourth power times the labelled rows that its example stands for; the prior weighs a little. The examples' own votes,
+each without itself, correct the share where they are many enough to tell.
+
+Fitting looks at ``max_labelled`` labelled rows and indexes ``max_examples`` of them, chosen by hash; these bounds are parameters. The
+counts of terms are taken over all documents, and all documents are scored. A term that no example has counts in a text's length as
+one of this text alone; this scales all its cosines alike and changes no order.
 """
 
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -29,24 +30,19 @@ from pyspark.sql import functions as F
 from ostinato.llm.common import as_texts, cut, map_arrow, require, small_batches
 
 BLOCK, NEIGHBOURS, THRESHOLD = 64, 15, 0.3
-MAX_LABELLED, MAX_EXAMPLES, MAX_TERMS = 20_000, 2_048, 1_024
-LEAST_PURITY = 0.5
-PREFIXES = (4, 5, 6)
-KEPT_ANSWERS = 50_000
+MAX_LABELLED, MAX_EXAMPLES = 20_000, 2_048
+PREFIXES = (4, 5, 6, 7)
+POWER, PRIOR_VOTES, FLOOR = 4, 0.02, 0.05
+#: The rows that a vote share counts as, when the examples' own votes correct it.
+TRUSTED_ROWS = 100
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
-def text_terms(text: str) -> set[str]:
-    """The distinct terms of a text: its words, and as ``beginning~`` the beginnings of longer words."""
-    words = set(_WORDS(text.lower()))
-    return words.union(*({w[:n] + "~" for w in words if len(w) > n} for n in PREFIXES))
-
-
 def text_counts(text: str) -> dict[str, int]:
-    """How often each term of a text occurs in it."""
+    """How often each term of a text occurs in it: its words, and as ``beginning~`` the beginnings of longer words."""
     words = _WORDS(text.lower())
     starts = [[w[:size] + "~" for w in words if len(w) > size] for size in PREFIXES]
-    return dict(Counter(chain(words, *starts)))
+    return Counter(chain(words, *starts))
 
 
 class Vocabulary:
@@ -55,14 +51,29 @@ class Vocabulary:
     def __init__(self, terms: list[str]):
         self.number = {t: i for i, t in enumerate(terms)}
 
-    def read(self, text: str) -> tuple[dict[int, int], list[int]]:
-        """({term number: count}, the counts of terms that aren't in the index)."""
-        counts = text_counts(text)
-        hits = self.number.keys() & counts.keys()
-        return {self.number[t]: counts[t] for t in hits}, [n for t, n in counts.items() if t not in hits]
+    def arrays(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(term numbers, -1 for those that aren't in the index; counts)."""
+        counts, number = text_counts(text), self.number.get
+        return np.fromiter((number(t, -1) for t in counts), np.int64, len(counts)), np.fromiter(counts.values(), np.float64, len(counts))
+
+
+def divergence(tf: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Twice the log-likelihood by which a count tells against its expectation, where it is larger; else 0."""
+    return np.where(tf > expected, 2 * (tf * np.log(tf / np.maximum(expected, 1e-300)) - (tf - expected)), 0.0)
+
+
+def likelihood_ratio(toxic: np.ndarray, clean: np.ndarray, all_toxic: int, all_clean: int) -> np.ndarray:
+    """For each term, how surely toxic and clean rows differ in having it (the G statistic); 0 without rows of both labels."""
+    if not all_toxic or not all_clean:
+        return np.zeros(len(toxic))
+
+    def log(k, n, p):
+        p = np.clip(p, 1e-12, 1 - 1e-12)
+        return k * np.log(p) + (n - k) * np.log(1 - p)
 
-    def counts(self, text: str) -> dict[int, int]:
-        return self.read(text)[0]
+    both = (toxic + clean) / (all_toxic + all_clean)
+    apart = log(toxic, all_toxic, toxic / all_toxic) + log(clean, all_clean, clean / all_clean)
+    return np.maximum(2 * (apart - log(toxic, all_toxic, both) - log(clean, all_clean, both)), 0)
 
 
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,15 +85,12 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Postings:
     """Examples by term. An entry is a term's part in one block: its block, its largest weight, and where its postings start."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], terms: int):
-        """rows: (terms, weights) of each example."""
-        sizes = [len(t) for t, _ in rows]
-        at = np.repeat(np.arange(len(rows)), sizes)
-        term = np.concatenate([t for t, _ in rows] + [np.empty(0, np.int64)])
-        weight = np.concatenate([w for _, w in rows] + [np.empty(0)])
+    def __init__(self, at: np.ndarray, term: np.ndarray, weight: np.ndarray, examples: int, terms: int):
+        some = weight > 0
+        at, term, weight = at[some], term[some], weight[some]
         order = np.lexsort((at, term))
         at, term, weight = at[order], term[order], weight[order]
-        self.examples, self.at, self.weight = len(rows), at.astype(np.int32), weight
+        self.examples, self.at, self.weight = examples, at.astype(np.int32), weight
         self.term_starts = np.searchsorted(term, np.arange(terms + 1)).astype(np.int32)
         first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (at[1:] // BLOCK != at[:-1] // BLOCK)][: len(term)])
         self.entry_starts = np.searchsorted(term[first], np.arange(terms + 1)).astype(np.int32)
@@ -100,7 +108,7 @@ class Postings:
         value, block = np.repeat(values, sizes), self.entry_block[entries]
         bounds = np.bincount(block, value * self.entry_max[entries], -(-self.examples // BLOCK))
         waiting = np.argsort(-bounds, kind="stable")
-        best_at, best, step = np.empty(0, np.int64), np.empty(0), 8
+        best_at, best, step = np.empty(0, np.int64), np.empty(0), 4
         while True:
             least = best[-1] - 1e-9 if len(best) == k else 0.0
             waiting = waiting[(bounds[waiting] > 0) & (bounds[waiting] >= least)]
@@ -121,179 +129,187 @@ class Postings:
 
 @dataclass
 class Index:
-    """The examples' postings over all terms, and over the leaning terms alone."""
+    """The examples' postings over all of their terms, and what weighs a text's terms."""
 
     vocabulary: Vocabulary
-    idf: np.ndarray
-    unseen: float
-    leans: np.ndarray
+    share: np.ndarray
+    factor: np.ndarray
+    corpus_terms: int
     labels: np.ndarray
     stands_for: np.ndarray
     ids: list
-    whole: Postings
-    leaning: Postings
+    postings: Postings
     prior: float
     curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-    answers: dict = field(default_factory=dict)
 
-    @property
-    def postings(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        return [self.whole.of_term(t) for t in range(len(self.idf))]
-
-    def weights(self, counts: dict[int, int], other: list[int] = ()) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, weights) of length one, with the terms outside the index counted in the length."""
-        terms, values = _raw_weights(counts, self.idf)
-        return terms, values / _length(values, other, self.unseen)
+    def weights(self, number: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(terms of the index, weights) of a vector of length one; terms outside the index (number -1) count in the length."""
+        length, known = tf.sum(), number >= 0
+        terms, own, other = number[known], tf[known], tf[~known]
+        values = divergence(own, length * self.share[terms]) * self.factor[terms]
+        rest = divergence(other, length * other / self.corpus_terms) * FLOOR**0.5
+        norm = np.sqrt((values**2).sum() + (rest**2).sum())
+        some = values > 0
+        return terms[some], values[some] / (norm or 1.0)
 
     def nearest(self, terms: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        return self.whole.nearest(terms, values, k)
-
-    def near_leaning(self, terms: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest by leaning terms alone; texts with the same, often one or two, ask once."""
-        some = self.leans[terms]
-        if not some.any():
-            return np.empty(0, np.int64), np.empty(0)
-        terms, values = terms[some], values[some]
-        values = values / np.sqrt((values**2).sum())
-        key = (k, terms.tobytes(), values.round(12).tobytes())
-        if key not in self.answers:
-            if len(self.answers) >= KEPT_ANSWERS:
-                self.answers.clear()
-            self.answers[key] = self.leaning.nearest(terms, values, k)
-        return self.answers[key]
-
-    def vote(self, counts: dict[int, int], other: list[int] = (), k: int = NEIGHBOURS, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """(share of toxic votes, nearest examples by all terms, cosines). By leaning terms a vote weighs its cosine squared; by all
-        terms it grows without bound as the cosine nears one, so that a copy decides; both count the labelled rows that an example
-        stands for. The prior weighs a quarter of a vote."""
-        if not counts:
-            return self.prior, np.empty(0, np.int64), np.empty(0)
-        terms, values = self.weights(counts, other)
-        at, near = self.nearest(terms, values, k + (without >= 0))
-        lean_at, lean = self.near_leaning(terms, values, k + (without >= 0))
+        return self.postings.nearest(terms, values, k)
+
+    def vote(self, number: np.ndarray, tf: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+        """(share of toxic votes, nearest examples, cosines); ``without``: an example that has no vote."""
+        at, near = self.nearest(*self.weights(number, tf), k + (without >= 0))
         near, at = near[at != without][:k], at[at != without][:k]
-        lean, lean_at = lean[lean_at != without][:k], lean_at[lean_at != without][:k]
-        close = near**2
-        weight = np.r_[close**4 / (np.maximum(1 - close, 0) + 1e-4), lean**2] * self.stands_for[np.r_[at, lean_at]]
-        raw = float((weight @ self.labels[np.r_[at, lean_at]] + self.prior / 4) / (weight.sum() + 0.25))
-        return round(raw, 2), at, near  # votes of far examples alone move the share by less, and few labels can't calibrate that
+        weight = near**POWER * self.stands_for[at]
+        return float((weight @ self.labels[at] + self.prior * PRIOR_VOTES) / (weight.sum() + PRIOR_VOTES)), at, near
 
     def score(self, text: str) -> tuple[float, np.ndarray, np.ndarray]:
         """(score, nearest examples, cosines)."""
-        counts, other = self.vocabulary.read(text)
-        raw, at, near = self.vote(counts, other)
-        return float(np.clip(np.interp(raw, *self.curve), 0, 1)) if counts else raw, at[:3], near[:3]
-
-
-def _raw_weights(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    terms = np.fromiter(counts.keys(), np.int64, len(counts))
-    order = np.argsort(terms)
-    tf = np.fromiter(counts.values(), np.float64, len(counts))
-    return terms[order], (1 + np.log(tf[order])) * idf[terms[order]]
-
-
-def _length(values: np.ndarray, other: list[int], unseen: float) -> float:
-    rest = ((1 + np.log(np.array(other, np.float64))) * unseen) if len(other) else np.empty(0)
-    return float(np.sqrt((values**2).sum() + (rest**2).sum())) or 1.0
+        raw, at, near = self.vote(*self.vocabulary.arrays(text))
+        return float(np.clip(np.interp(raw, *self.curve), 0, 1)), at, near
 
 
 def rising(raw: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rising curve nearest to the labels (pool adjacent violators), as points for interpolation. Equal raw values are one pool."""
+    """Points of a rising curve from vote shares to probabilities: pools by pool adjacent violators, each drawn to its own share.
+
+    A pool's share counts as TRUSTED_ROWS rows against the labelled rows in it, so few labels change little. Equal shares are one pool.
+    """
     order = np.lexsort((-labels, raw))
-    pools: list[list[float]] = []  # weight of label 1, weight, first raw, last raw
+    pools: list[list[float]] = []  # weight of label 1, weight, weighed share, first and last share
     for x, y, w in zip(raw[order].tolist(), labels[order].tolist(), weights[order].tolist()):
-        pools.append([y * w, w, x, x])
+        pools.append([y * w, w, x * w, x, x])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
-            y2, n2, _, last = pools.pop()
-            pools[-1] = [pools[-1][0] + y2, pools[-1][1] + n2, pools[-1][2], last]
-    xs, ys = [], []
-    for y, n, first, last in pools:
-        xs += [first, last]
-        ys += [(y + 0.01) / (n + 0.02)] * 2
-    return np.array(xs), np.maximum.accumulate(np.array(ys))
+            y2, n2, x2, _, last = pools.pop()
+            pools[-1] = [pools[-1][0] + y2, pools[-1][1] + n2, pools[-1][2] + x2, pools[-1][3], last]
+    xs, ys = [0.0], [0.0]
+    for y, n, _, first, last in pools:
+        for x in (first, last):
+            xs.append(x)
+            ys.append((y + TRUSTED_ROWS * x) / (n + TRUSTED_ROWS))
+    return np.array([*xs, 1.0]), np.maximum.accumulate([*ys, 1.0])
 
 
 def _hash_order(*columns: str):
     return F.xxhash64(*columns)
 
 
-def informative_terms(labelled: DataFrame, max_terms: int) -> list[tuple[str, float]]:
-    """labelled(toxic, text) -> the terms most typical of toxic rows by log-likelihood ratio, at most ``max_terms``."""
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for label in (0, 1):
-            rows = [t for t, y in zip(as_texts(batch.column(1)), batch.column(0).to_pylist()) if y == label]
-            if rows:
-                found = Counter(t for text in rows for t in text_terms(text))
-                yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()), pa.int64()), pa.array([label] * len(found), pa.int32())], ["term", "n", "toxic"])
-
-    sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
-    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    if not toxic:
-        return []
-    counted = map_arrow(labelled.select("toxic", "text"), run, "term string, n long, toxic int").groupBy("term")
-    counted = counted.agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
-    log = lambda k, m, p: k * F.log(F.greatest(p, F.lit(1e-12))) + (m - k) * F.log(F.greatest(1 - p, F.lit(1e-12)))
-    a, b, m, n = F.col("a"), F.col("b"), F.lit(float(toxic)), F.lit(float(max(clean, 1)))
-    both = (a + b) / (m + n)
-    ratio = 2 * (log(a, m, a / m) + log(b, n, b / n) - log(a, m, both) - log(b, n, both))
-    # Of the n terms that are as frequent, less than one should pass by chance: the ratio is over twice the log of 2 n.
-    counted = cut(counted.withColumn("df", a + b), "terms")
-    alike = counted.groupBy("df").agg((2 * F.log(2.0 * F.count("*"))).alias("least"))
-    typical = counted.where("a >= 3").where(a / F.col("df") >= LEAST_PURITY).where(a / m > b / n).join(alike, "df")
-    typical = typical.select("term", ratio.alias("ratio"), "least").where("ratio > least")
-    return [(r["term"], r["ratio"]) for r in typical.orderBy(F.desc("ratio"), "term").limit(max_terms).collect()]
-
-
-def document_frequencies(docs: DataFrame, terms: list[str], text_col: str) -> tuple[np.ndarray, int]:
-    """In how many of all documents each term occurs, and how many documents there are."""
+def corpus_counts(docs: DataFrame, terms: list[str], text_col: str) -> tuple[np.ndarray, int]:
+    """How often each term occurs in all documents, and how many terms there are in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, found, n = Vocabulary(terms), np.zeros(len(terms), np.int64), 0
         for batch in batches:
             for text in as_texts(batch.column(0)):
-                found[[vocabulary.number[t] for t in vocabulary.number.keys() & text_terms(text)]] += 1
-            n += batch.num_rows
+                number, tf = vocabulary.arrays(text)
+                found[number[number >= 0]] += tf[number >= 0].astype(np.int64)
+                n += int(tf.sum())
         some = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1], pa.int32()), pa.array(np.r_[found[some], n], pa.int64())], ["term", "n"])
 
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    got = counted.toArrow()  # a row for each term of the index
-    term, n = got["term"].to_numpy(), got["n"].to_numpy()
-    frequencies = np.zeros(len(terms))
-    frequencies[term[term >= 0]] = n[term >= 0]
-    return frequencies, int(n[term < 0].sum())
-
-
-def build_index(terms: list[str], leaning: list[str], frequencies: np.ndarray, documents: int, counted: list[tuple], prior: float) -> Index:
-    """counted: (id, label, {term number: count}, labelled rows that it stands for) of each example, a bounded list."""
-    vocabulary = Vocabulary(terms)
-    idf = np.log((1 + documents) / (1 + frequencies)) + 1
-    leans = np.zeros(len(terms), bool)
-    leans[[vocabulary.number[t] for t in leaning]] = True
-    # Examples with the same commonest term, which tells the language, lie together, so that a block's bound is low for other texts.
-    lead = lambda counts: max(counts, key=lambda t: (counts[t], frequencies[t], t), default=-1)
-    held = sorted(counted, key=lambda x: (lead(x[2]), x[1], str(x[0])))
-    labels, stands_for = np.array([x[1] for x in held], np.float64), np.array([x[3] for x in held], np.float64)
-    rows, some = [], []
-    for _, _, counts, _ in held:
-        at, values = _raw_weights(counts, idf)
-        rows.append((at, values / _length(values, [], 0.0)))
-        own = leans[at]
-        some.append((at[own], values[own] / _length(values[own], [], 0.0)))
-    unseen = float(np.log((1 + documents) / 2) + 1)
-    index = Index(vocabulary, idf, unseen, leans, labels, stands_for, [x[0] for x in held], Postings(rows, len(terms)), Postings(some, len(terms)), prior)
-    if held:
-        raw = np.array([index.vote(row[2], without=at)[0] for at, row in enumerate(held)])
-        index.curve = rising(np.r_[0.0, raw, 1.0], np.r_[0.0, labels, 1.0], np.r_[1.0, stands_for, 1.0])
+    return _by_term(counted.toArrow(), "n", len(terms))  # a row for each term of the index
+
+
+def _by_term(got: pa.Table, column: str, size: int) -> tuple[np.ndarray, int]:
+    """(values by term number, the value of number -1)."""
+    term, n, out = got["term"].to_numpy(), got[column].to_numpy(), np.zeros(size)
+    out[term[term >= 0]] = n[term >= 0]
+    return out, int(n[term < 0].sum())
+
+
+def label_counts(labelled: DataFrame, terms: list[str]) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """In how many toxic and clean rows each term occurs, and how many rows of each there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, found, rows = Vocabulary(terms), np.zeros((2, len(terms)), np.int64), [0, 0]
+        for batch in batches:
+            for text, label in zip(as_texts(batch.column(1)), batch.column(0).to_pylist()):
+                number, _ = vocabulary.arrays(text)
+                found[label, number[number >= 0]] += 1
+                rows[label] += 1
+        some = np.flatnonzero(found.any(axis=0))
+        columns = [np.r_[some, -1], np.r_[found[1, some], rows[1]], np.r_[found[0, some], rows[0]]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64()))], ["term", "toxic", "clean"])
+
+    counted = labelled.select("toxic", "text").mapInArrow(run, "term int, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    got = counted.toArrow()
+    (toxic, all_toxic), (clean, all_clean) = (_by_term(got, c, len(terms)) for c in ("toxic", "clean"))
+    return toxic, clean, all_toxic, all_clean
+
+
+@dataclass
+class Examples:
+    """The chosen labelled rows: ids, labels, the rows that each stands for, and their terms as (example, term, count)."""
+
+    ids: list
+    labels: np.ndarray
+    stands_for: np.ndarray
+    terms: list[str]
+    at: np.ndarray
+    term: np.ndarray
+    tf: np.ndarray
+
+
+def chosen_examples(labelled: DataFrame, max_examples: int) -> Examples:
+    """Examples by id hash, half of them toxic where there are enough; their terms are counted on executors."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        counts = [text_counts(t) for t in as_texts(batch.column(2))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
+
+    id_type = labelled.schema["doc_id"].dataType.simpleString()
+    tables, each = [], []
+    for label in (1, 0):
+        own = labelled.where(F.col("toxic") == label)
+        chosen = cut(own.orderBy(_hash_order("doc_id"), "doc_id", F.xxhash64("text")).limit(max_examples // 2), "examples")
+        tables.append(map_arrow(chosen.select("doc_id", "toxic", "text"), run, f"doc_id {id_type}, toxic int, terms array<string>, counts array<int>").toArrow())
+        each += [own.count() / max(1, tables[-1].num_rows)] * tables[-1].num_rows
+    got = pa.concat_tables(tables).combine_chunks()
+    lists = got["terms"].combine_chunks()
+    words = lists.flatten().dictionary_encode()
+    names = words.dictionary.to_pylist()
+    order = np.array(sorted(range(len(names)), key=names.__getitem__), np.int64)
+    rank = np.empty(len(names), np.int64)
+    rank[order] = np.arange(len(names))
+    at = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    term = rank[words.indices.to_numpy(zero_copy_only=False)] if len(at) else np.empty(0, np.int64)
+    tf = got["counts"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return Examples(got["doc_id"].to_pylist(), got["toxic"].to_numpy().astype(np.float64), np.array(each, np.float64), [names[i] for i in order], at, term, tf)
+
+
+def build_index(examples: Examples, counts: np.ndarray, corpus_terms: int, ratio: np.ndarray, prior: float) -> Index:
+    """counts: of each of the examples' terms over all documents; ratio: its likelihood ratio between the labels."""
+    n, terms = len(examples.ids), len(examples.terms)
+    share, factor = np.maximum(counts, 1) / max(corpus_terms, 1), np.sqrt(FLOOR + ratio)
+    length = np.bincount(examples.at, examples.tf, n)
+    weight = divergence(examples.tf, length[examples.at] * share[examples.term]) * factor[examples.term]
+    norm = np.sqrt(np.bincount(examples.at, weight**2, n))
+    weight = weight / np.where(norm > 0, norm, 1)[examples.at]
+    # Examples with the same heaviest term lie together, so that a block's bounds are low for texts without it.
+    heaviest = np.full(n, -1)
+    heavy = np.lexsort((examples.term, weight))
+    heaviest[examples.at[heavy]] = examples.term[heavy]
+    order = np.array(sorted(range(n), key=lambda i: (heaviest[i], examples.labels[i], str(examples.ids[i]))), np.int64)
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    index = Index(
+        Vocabulary(examples.terms), share, factor, max(corpus_terms, 1), examples.labels[order], examples.stands_for[order],
+        [examples.ids[i] for i in order], Postings(place[examples.at], examples.term, weight, n, terms), prior,
+    )
+    if n:
+        starts = np.searchsorted(examples.at, np.arange(n + 1))
+        of = lambda i: slice(starts[i], starts[i + 1])
+        raw = np.array([index.vote(examples.term[of(i)], examples.tf[of(i)], without=place[i])[0] for i in range(n)])
+        index.curve = rising(raw, examples.labels, examples.stands_for)
     return index
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> Index:
-    """An index of labelled examples. ``labels``: id_col and label_col (0 or 1; rows with nulls teach nothing).
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, max_examples: int = MAX_EXAMPLES) -> Index:
+    """An index of labelled examples. ``labels``: id_col and label_col (0 or 1; rows with nulls or other values teach nothing).
 
-    A document with several labels counts as toxic if one of them says so. Of labelled rows, those with the least id hashes are
-    used. Without any toxic label every score is the prior, 0.
+    A document with several labels counts as toxic if one of them says so; repeated documents are examples each. Of labelled rows, those
+    with the least id hashes are used. Null and empty texts have no terms. Empty documents or labels, or no toxic label, give an index
+    whose every score is the prior, the toxic share of labelled rows, 0 without any. Very long texts are read whole. Columns other than
+    those named are not read.
     """
     require(docs, id_col, text_col)
     require(labels, id_col, label_col)
@@ -302,36 +318,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = cut(taught.orderBy(_hash_order("_id"), "_id").limit(max_labelled), "labels")
     # At most max_labelled ids and labels are broadcast.
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    labelled = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["_id"]).select("doc_id", "toxic", "text")
-    labelled = cut(labelled, "labelled")
-    share = labelled.agg(F.avg("toxic")).first()[0] or 0.0
-    leaning = sorted(t for t, _ in informative_terms(labelled, max_terms))
-    examples = example_counts(labelled, max_examples)
-    terms = sorted({t for _, _, counts, _ in examples for t in counts}.union(leaning))
-    frequencies, documents = document_frequencies(docs, terms, text_col)
-    number = {t: i for i, t in enumerate(terms)}
-    numbered = [(i, y, {number[t]: n for t, n in counts.items()}, each) for i, y, counts, each in examples]
-    return build_index(terms, leaning, frequencies, documents, numbered, share)
-
-
-def example_counts(labelled: DataFrame, max_examples: int) -> list[tuple]:
-    """(id, label, {term: count}, rows that it stands for) of examples, half of them toxic where there are enough; texts stay on
-    executors."""
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        counts = [text_counts(t) for t in as_texts(batch.column(2))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
-
-    id_type = labelled.schema["doc_id"].dataType.simpleString()
-    rows = []
-    for label in (1, 0):
-        own = labelled.where(F.col("toxic") == label)
-        chosen = cut(own.orderBy(_hash_order("doc_id"), "doc_id").limit(max_examples // 2), "examples")
-        counted = map_arrow(chosen.select("doc_id", "toxic", "text"), run, f"doc_id {id_type}, toxic int, terms array<string>, counts array<int>").toArrow()
-        each = own.count() / max(1, counted.num_rows)
-        for i, y, terms, counts in zip(*(counted[c] for c in ("doc_id", "toxic", "terms", "counts"))):
-            rows.append((i.as_py(), y.as_py(), dict(zip(map(sys.intern, terms.as_py()), counts.as_py())), each))
-    return rows
+    labelled = cut(texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["_id"]).select("doc_id", "toxic", "text"), "labelled")
+    examples = chosen_examples(labelled, max_examples)
+    counts, corpus_terms = corpus_counts(docs, examples.terms, text_col)
+    toxic, clean, all_toxic, all_clean = label_counts(labelled, examples.terms)
+    prior = all_toxic / max(1, all_toxic + all_clean)
+    return build_index(examples, counts, corpus_terms, likelihood_ratio(toxic, clean, all_toxic, all_clean), prior)
 
 
 def score_column(index: Index):
@@ -348,9 +340,11 @@ def score_column(index: Index):
 
 
 def score(docs: DataFrame, index: Index, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with score, predicted and evidence (columns of these names are replaced). Null texts count as empty.
+    """``docs`` with score, predicted and evidence (columns of these names, and of ``_scored``, are replaced).
 
-    A score depends on the text alone: equal texts have equal scores, whatever else the rows say.
+    A score depends on the text alone: equal texts have equal scores, whatever else the rows say, and repeated rows are scored each.
+    Null and empty texts, and texts that share no term with an example, score about the prior and have no evidence. Very long texts
+    are read whole. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("score", "predicted", "evidence", "_scored")]

@@ -1,7 +1,9 @@
 """Each operator against a plain, quadratic or sequential version, on texts with every odd case."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -270,20 +272,113 @@ def labelled(spark, n=1200):
     return spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4), rows
 
 
-def test_nearest_is_exact(spark):
-    docs, rows = labelled(spark)
-    index = toxicity.fit(docs.drop("toxic"), docs.where("doc_id % 4 <> 1").select("doc_id", "toxic"))
-    dense = np.zeros((len(index.labels), len(index.idf)))
-    for term, (at, weight) in enumerate(index.postings):
-        dense[at, term] = weight
-    for _, text, _ in rows[:200]:
-        counts = index.vocabulary.counts(text)
-        if counts:
-            terms, values = index.weights(counts)
-            at, near = index.nearest(terms, values, 7)
-            cosines = dense[:, terms] @ values
-            order = sorted(np.flatnonzero(cosines > 0).tolist(), key=lambda i: (-round(cosines[i], 9), i))[:7]
-            assert at.tolist() == order and np.allclose(near, cosines[order])
+def plain_terms(text):
+    """Words and the beginnings of longer words, by hand."""
+    out = Counter()
+    for word in re.findall(r"[^\W\d_]+", text.lower()):
+        out[word] += 1
+        for size in (4, 5, 6, 7):
+            if len(word) > size:
+                out[word[:size] + "~"] += 1
+    return out
+
+
+def plain_scores(texts, labels):
+    """{id: (score before calibration, [(example, cosine)])} from dense vectors over every term of the corpus; labels: {id: label}."""
+    counts = {i: plain_terms(t or "") for i, t in texts.items()}
+    corpus = Counter()
+    for c in counts.values():
+        corpus.update(c)
+    everything, taught = sum(corpus.values()), sorted(labels)
+    rows = {y: [i for i in taught if labels[i] == y] for y in (0, 1)}
+    log = lambda k, n, p: (k * math.log(p) if k else 0) + ((n - k) * math.log(1 - p) if n - k else 0)
+    known = {t for i in taught for t in counts[i]}
+
+    def factor(term):
+        if term not in known:
+            return math.sqrt(0.05)
+        a, b, m, n = sum(term in counts[i] for i in rows[1]), sum(term in counts[i] for i in rows[0]), len(rows[1]), len(rows[0])
+        both = (a + b) / (m + n)
+        return math.sqrt(0.05 + max(0, 2 * (log(a, m, a / m) + log(b, n, b / n) - log(a, m, both) - log(b, n, both))))
+
+    factors = {t: factor(t) for t in corpus}
+    vectors = {}
+    for i, c in counts.items():
+        length, v = sum(c.values()), {}
+        for t, tf in c.items():
+            # A term that no labelled row has counts as one of this text alone.
+            expected = length * (corpus[t] if t in known else tf) / everything
+            v[t] = 2 * (tf * math.log(tf / expected) - (tf - expected)) * factors[t] if tf > expected else 0.0
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        vectors[i] = {t: x / norm for t, x in v.items()}
+    prior, out = len(rows[1]) / len(taught), {}
+    for i, v in vectors.items():
+        near = sorted(((sum(x * vectors[e].get(t, 0.0) for t, x in v.items()), e) for e in taught), reverse=True)
+        near = [(e, c) for c, e in near if c > 0]
+        weight = sum(c**4 for _, c in near[:15])
+        out[i] = ((sum(c**4 * labels[e] for e, c in near[:15]) + prior * 0.02) / (weight + 0.02), near)
+    return out
+
+
+def test_scores_are_those_of_dense_vectors(spark):
+    """Terms, weights, neighbours, cosines and votes, all computed again without the module."""
+    docs, rows = labelled(spark, 160)
+    odd = [(1000, None, 0), (1001, "", 0), (1002, "unseenword badword " * 9, 0), (1003, rows[0][1], 0), (1004, "word " * 3000, 0)]
+    docs = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string, toxic int"))
+    index = toxicity.fit(docs.drop("toxic"), docs.where("doc_id % 4 <> 1 and doc_id < 1000").select("doc_id", "toxic"))
+    index.curve = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    texts = {i: t for i, t, _ in [*rows, *odd]}
+    expected = plain_scores(texts, {i: y for i, _, y in rows if i % 4 != 1})
+    for r in toxicity.score(docs.select("doc_id", "text"), index).collect():
+        score, near = expected[r["doc_id"]]
+        assert r["score"] == pytest.approx(score, abs=1e-6)
+        assert [e["cosine"] for e in r["evidence"]] == pytest.approx([c for _, c in near[:3]], abs=1e-9)
+        cosine_of = {str(i): c for i, c in near}
+        assert all(cosine_of[e["example"]] == pytest.approx(e["cosine"], abs=1e-9) for e in r["evidence"])
+
+
+def test_nearest_is_exact_over_many_blocks():
+    rng = np.random.default_rng(8)
+    rows = [(np.sort(rng.choice(500, 40, replace=False)), rng.random(40) ** 6) for _ in range(1000)]
+    rows[17] = rows[900] = rows[3]
+    at, term, weight = np.repeat(np.arange(1000), 40), np.concatenate([t for t, _ in rows]), np.concatenate([w for _, w in rows])
+    index, dense = toxicity.Postings(at, term, weight, 1000, 500), np.zeros((1000, 500))
+    dense[at, term] = weight
+    for terms, values in rows[:200]:
+        cosines = dense[:, terms] @ values
+        order = sorted(np.flatnonzero(cosines > 0).tolist(), key=lambda i: (-round(cosines[i], 9), i))[:7]
+        found, near = index.nearest(terms, values, 7)
+        assert found.tolist() == order and np.allclose(near, cosines[order])
+
+
+def test_calibration_rises_and_trusts_many_rows():
+    rng = np.random.default_rng(5)
+    raw = rng.random(40_000)
+    xs, ys = toxicity.rising(raw, (rng.random(40_000) < raw**2).astype(float), np.ones(40_000))
+    at = np.linspace(0.1, 0.9, 9)
+    off = np.abs(np.interp(at, xs, ys) - at**2)  # the curve goes up in steps
+    assert (np.diff(ys) >= 0).all() and off.max() < 0.12 and off.mean() < 0.06
+    few = toxicity.rising(raw[:3], np.array([1.0, 0.0, 1.0]), np.ones(3))
+    assert np.allclose(np.interp(at, *few), at, atol=0.05)
+
+
+def test_odd_toxicity_inputs(spark):
+    """Repeated documents and labels, labels of no document, other values, clashing columns, and no documents at all."""
+    docs, _ = labelled(spark, 120)
+    labels = docs.select("doc_id", "toxic")
+    odd = spark.createDataFrame([(5, None), (None, 1), (7, 3), (99_999, 1)], "doc_id long, toxic int")
+    plain = toxicity.fit(docs.drop("toxic"), labels)
+    index = toxicity.fit(docs.drop("toxic").selectExpr("*", "1 as terms", "2 as _id"), labels.unionByName(odd).unionByName(labels))
+    text = docs.select("doc_id", "text")
+    clash = text.selectExpr("*", "1 as score", "'x' as evidence", "2 as predicted", "3 as _scored", "4 as other")
+    scored = toxicity.score(clash.unionByName(clash), index)
+    assert scored.columns == ["doc_id", "text", "other", "score", "predicted", "evidence"]
+    assert {(r["doc_id"], r["score"]) for r in scored.collect()} == {(r["doc_id"], r["score"]) for r in toxicity.score(text, plain).collect()}
+    assert scored.count() == 240 and toxicity.score(text.limit(0), index).count() == 0
+    nothing = toxicity.fit(text.limit(0), labels)
+    assert {r["score"] for r in toxicity.score(text, nothing).collect()} == {0.0}
+    twice = toxicity.fit(docs.drop("toxic").unionByName(docs.drop("toxic")), labels)
+    assert len(twice.ids) == 240
 
 
 def test_toxicity_on_held_out_rows(spark):
