@@ -29,20 +29,23 @@ from pyspark.sql import functions as F
 
 from ostinato.llm.common import as_texts, cut, map_arrow, require, small_batches
 
-BLOCK, NEIGHBOURS, THRESHOLD = 64, 15, 0.3
-MAX_LABELLED, MAX_EXAMPLES = 20_000, 2_048
+BLOCK, NEIGHBOURS, THRESHOLD = 128, 15, 0.3
+MAX_LABELLED, MAX_EXAMPLES = 20_000, 1_024
 PREFIXES = (4, 5, 6, 7)
 POWER, PRIOR_VOTES, FLOOR = 4, 0.02, 0.05
-#: The rows that a vote share counts as, when the examples' own votes correct it.
+#: Rows of the rarer label at which the examples' own votes correct a vote share half way.
 TRUSTED_ROWS = 100
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
+def word_terms(word: str) -> list[str]:
+    """The terms of a word: itself, and as ``beginning~`` its beginnings."""
+    return [word, *[word[:size] + "~" for size in PREFIXES if len(word) > size]]
+
+
 def text_counts(text: str) -> dict[str, int]:
-    """How often each term of a text occurs in it: its words, and as ``beginning~`` the beginnings of longer words."""
-    words = _WORDS(text.lower())
-    starts = [[w[:size] + "~" for w in words if len(w) > size] for size in PREFIXES]
-    return Counter(chain(words, *starts))
+    """How often each term of a text occurs in it."""
+    return Counter(chain.from_iterable(map(word_terms, _WORDS(text.lower()))))
 
 
 class Vocabulary:
@@ -51,10 +54,10 @@ class Vocabulary:
     def __init__(self, terms: list[str]):
         self.number = {t: i for i, t in enumerate(terms)}
 
-    def arrays(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def arrays(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """(term numbers, -1 for those that aren't in the index; counts)."""
-        counts, number = text_counts(text), self.number.get
-        return np.fromiter((number(t, -1) for t in counts), np.int64, len(counts)), np.fromiter(counts.values(), np.float64, len(counts))
+        get = self.number.get
+        return np.array([get(t, -1) for t in counts], np.int64), np.fromiter(counts.values(), np.float64, len(counts))
 
 
 def divergence(tf: np.ndarray, expected: np.ndarray) -> np.ndarray:
@@ -76,10 +79,13 @@ def likelihood_ratio(toxic: np.ndarray, clean: np.ndarray, all_toxic: int, all_c
     return np.maximum(2 * (apart - log(toxic, all_toxic, both) - log(clean, all_clean, both)), 0)
 
 
-def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the ranges in turn, and each range's length."""
-    sizes = ends - starts
-    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes), sizes
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges in turn; no range is empty."""
+    steps = np.ones(int(sizes.sum()), np.int64)
+    if len(starts):
+        steps[0] = starts[0]
+        steps[np.cumsum(sizes)[:-1]] = starts[1:] - starts[:-1] - sizes[:-1] + 1
+    return np.cumsum(steps, out=steps)
 
 
 class Postings:
@@ -90,41 +96,47 @@ class Postings:
         at, term, weight = at[some], term[some], weight[some]
         order = np.lexsort((at, term))
         at, term, weight = at[order], term[order], weight[order]
-        self.examples, self.at, self.weight = examples, at.astype(np.int32), weight
-        self.term_starts = np.searchsorted(term, np.arange(terms + 1)).astype(np.int32)
+        self.examples, self.at, self.weight = examples, at, weight
+        self.term_starts = np.searchsorted(term, np.arange(terms + 1))
         first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (at[1:] // BLOCK != at[:-1] // BLOCK)][: len(term)])
-        self.entry_starts = np.searchsorted(term[first], np.arange(terms + 1)).astype(np.int32)
-        self.entry_block = (at[first] // BLOCK).astype(np.int32)
+        self.entry_starts = np.searchsorted(term[first], np.arange(terms + 1))
+        self.entry_block = at[first] // BLOCK
         self.entry_max = np.maximum.reduceat(weight, first) if len(first) else np.empty(0)
-        self.starts = np.r_[first, len(term)].astype(np.int32)
+        self.starts = np.r_[first, len(term)]
 
     def of_term(self, term: int) -> tuple[np.ndarray, np.ndarray]:
         a, b = self.term_starts[term], self.term_starts[term + 1]
         return self.at[a:b], self.weight[a:b]
 
     def nearest(self, terms: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a cosine over 0, ties to the smaller number; exact."""
-        entries, sizes = _ranges(self.entry_starts[terms], self.entry_starts[terms + 1])
-        value, block = np.repeat(values, sizes), self.entry_block[entries]
+        """(examples, cosines) of the k nearest with a cosine over 0, ties to the smaller number; exact.
+
+        The block with the best bound is visited first; then all blocks whose bound reaches the k-th best cosine of that one.
+        """
+        sizes = self.entry_starts[terms + 1] - self.entry_starts[terms]
+        entries, value = _ranges(self.entry_starts[terms][sizes > 0], sizes[sizes > 0]), np.repeat(values, sizes)
+        if not len(entries):
+            return np.empty(0, np.int64), np.empty(0)
+        block = self.entry_block[entries]
         bounds = np.bincount(block, value * self.entry_max[entries], -(-self.examples // BLOCK))
-        waiting = np.argsort(-bounds, kind="stable")
-        best_at, best, step = np.empty(0, np.int64), np.empty(0), 4
-        while True:
-            least = best[-1] - 1e-9 if len(best) == k else 0.0
-            waiting = waiting[(bounds[waiting] > 0) & (bounds[waiting] >= least)]
-            if not len(waiting):
-                return best_at, best
-            visited = np.zeros(len(bounds), bool)
-            visited[waiting[:step]] = True
-            now, waiting, step = np.flatnonzero(visited[block]), waiting[step:], step * 4
-            places, lengths = _ranges(self.starts[entries[now]], self.starts[entries[now] + 1])
-            found = np.bincount(self.at[places], np.repeat(value[now], lengths) * self.weight[places], self.examples)
-            here = np.flatnonzero(found)
-            if len(here) > k:  # those that can't be among the k best aren't sorted
-                here = here[found[here] >= np.partition(found[here], -k)[-k] - 1e-8]
-            best_at, best = np.r_[best_at, here], np.r_[best, found[here]]
-            order = np.lexsort((best_at, -best.round(9)))[:k]
-            best_at, best = best_at[order], best[order]
+        starts, sizes = self.starts[entries], self.starts[entries + 1] - self.starts[entries]
+
+        def visit(blocks: np.ndarray) -> np.ndarray:
+            some = blocks[block]
+            places = _ranges(starts[some], sizes[some])
+            return np.bincount(self.at[places], np.repeat(value[some], sizes[some]) * self.weight[places], self.examples)
+
+        def kth(found: np.ndarray) -> float:
+            return max(np.partition(found, -k)[-k] if len(found) > k else 0.0, 1e-300)
+
+        first = np.arange(len(bounds)) == np.argmax(bounds)
+        found = visit(first)
+        rest = ~first & (bounds > 0) & (bounds >= kth(found) - 1e-9)
+        if rest.any():
+            found += visit(rest)
+        here = np.flatnonzero((found > 0) & (found >= kth(found) - 1e-8))  # those that can't be among the k best aren't sorted
+        best = here[np.lexsort((here, -found[here].round(9)))[:k]]
+        return best, found[best]
 
 
 @dataclass
@@ -164,28 +176,27 @@ class Index:
 
     def score(self, text: str) -> tuple[float, np.ndarray, np.ndarray]:
         """(score, nearest examples, cosines)."""
-        raw, at, near = self.vote(*self.vocabulary.arrays(text))
+        raw, at, near = self.vote(*self.vocabulary.arrays(text_counts(text)))
         return float(np.clip(np.interp(raw, *self.curve), 0, 1)), at, near
 
 
 def rising(raw: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Points of a rising curve from vote shares to probabilities: pools by pool adjacent violators, each drawn to its own share.
+    """Points of a rising curve from vote shares to probabilities, by pool adjacent violators; equal shares are one pool.
 
-    A pool's share counts as TRUSTED_ROWS rows against the labelled rows in it, so few labels change little. Equal shares are one pool.
+    The curve is drawn to the share itself by as much as the rarer label has few rows: half way at TRUSTED_ROWS of them.
     """
     order = np.lexsort((-labels, raw))
-    pools: list[list[float]] = []  # weight of label 1, weight, weighed share, first and last share
+    pools: list[list[float]] = []  # weight of label 1, weight, first and last share
     for x, y, w in zip(raw[order].tolist(), labels[order].tolist(), weights[order].tolist()):
-        pools.append([y * w, w, x * w, x, x])
+        pools.append([y * w, w, x, x])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
-            y2, n2, x2, _, last = pools.pop()
-            pools[-1] = [pools[-1][0] + y2, pools[-1][1] + n2, pools[-1][2] + x2, pools[-1][3], last]
-    xs, ys = [0.0], [0.0]
-    for y, n, _, first, last in pools:
-        for x in (first, last):
-            xs.append(x)
-            ys.append((y + TRUSTED_ROWS * x) / (n + TRUSTED_ROWS))
-    return np.array([*xs, 1.0]), np.maximum.accumulate([*ys, 1.0])
+            y2, n2, _, last = pools.pop()
+            pools[-1] = [pools[-1][0] + y2, pools[-1][1] + n2, pools[-1][2], last]
+    rarer = min(weights @ labels, weights @ (1 - labels))
+    trust = rarer / (rarer + TRUSTED_ROWS)
+    points = [(x, trust * y / n + (1 - trust) * x) for y, n, first, last in pools for x in (first, last)]
+    xs, ys = zip((0.0, 0.0), *points, (1.0, 1.0))
+    return np.array(xs), np.array(ys)
 
 
 def _hash_order(*columns: str):
@@ -196,12 +207,17 @@ def corpus_counts(docs: DataFrame, terms: list[str], text_col: str) -> tuple[np.
     """How often each term occurs in all documents, and how many terms there are in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, found, n = Vocabulary(terms), np.zeros(len(terms), np.int64), 0
+        vocabulary, found, n = {t: i for i, t in enumerate(terms)}, [0] * len(terms), 0
         for batch in batches:
-            for text in as_texts(batch.column(0)):
-                number, tf = vocabulary.arrays(text)
-                found[number[number >= 0]] += tf[number >= 0].astype(np.int64)
-                n += int(tf.sum())
+            # A word's terms are made once a batch, however often it occurs.
+            words = Counter(chain.from_iterable(_WORDS(t.lower()) for t in as_texts(batch.column(0))))
+            for word, times in words.items():
+                terms_of = word_terms(word)
+                n += times * len(terms_of)
+                for t in terms_of:
+                    if t in vocabulary:
+                        found[vocabulary[t]] += times
+        found = np.array(found, np.int64)
         some = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1], pa.int32()), pa.array(np.r_[found[some], n], pa.int64())], ["term", "n"])
 
@@ -223,7 +239,7 @@ def label_counts(labelled: DataFrame, terms: list[str]) -> tuple[np.ndarray, np.
         vocabulary, found, rows = Vocabulary(terms), np.zeros((2, len(terms)), np.int64), [0, 0]
         for batch in batches:
             for text, label in zip(as_texts(batch.column(1)), batch.column(0).to_pylist()):
-                number, _ = vocabulary.arrays(text)
+                number, _ = vocabulary.arrays(text_counts(text))
                 found[label, number[number >= 0]] += 1
                 rows[label] += 1
         some = np.flatnonzero(found.any(axis=0))
