@@ -13,6 +13,11 @@ def round6(x: Column) -> Column:
     return F.round(x, 6)
 
 
+def mean6(x: Column) -> Column:
+    """The mean at six places, from a sum of whole billionths: the same in whatever order the rows come."""
+    return F.round(F.sum(F.round(x * 1e9).cast("long")) / F.count(x) / 1e9, 6)
+
+
 def clamp01(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 

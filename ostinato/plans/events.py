@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ostinato.functions.scalars import mean6
 from ostinato.operators import boundaries, events, intervals
 from ostinato.plans.rhythm import in_windows, located_sql
 from ostinato.sources import music
@@ -43,10 +44,10 @@ def note_on_off_pairs(spark, sf_dir):
     return events.pair_on_off(messages(spark, sf_dir)).select("channel", "note", "vel", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
 
 
-@query(with_sql(NOTES_SQL, _MESSAGES, _PAIRS) + 'select note, count(*) as n, round(avg("end" - start), 6) as mean_length, round(max("end" - start), 6) as longest from pairs group by note')
+@query(with_sql(NOTES_SQL, _MESSAGES, _PAIRS) + 'select note, count(*) as n, round(sum(round(("end" - start) * 1e9::double)::bigint)::double / count(("end" - start)) / 1e9::double, 6) as mean_length, round(max("end" - start), 6) as longest from pairs group by note')
 def note_duration_metrics(spark, sf_dir):
     length = F.col("end") - F.col("start")
-    return events.pair_on_off(messages(spark, sf_dir)).groupBy("note").agg(F.count("*").alias("n"), F.round(F.avg(length), 6).alias("mean_length"), F.round(F.max(length), 6).alias("longest"))
+    return events.pair_on_off(messages(spark, sf_dir)).groupBy("note").agg(F.count("*").alias("n"), mean6(length).alias("mean_length"), F.round(F.max(length), 6).alias("longest"))
 
 
 @query(with_sql(NOTES_SQL, _MESSAGES) + "select channel, note, seq, round_even((t - coalesce(lag(t) over (partition by channel order by t, delta, seq), 0)) * 480 * 1e6 / 500000, 0)::bigint as ticks from messages")

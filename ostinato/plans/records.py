@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ostinato.functions.scalars import clamp01
+from ostinato.functions.scalars import clamp01, mean6
 from ostinato.operators import intervals, ordered, records, rhythm
 from ostinato.plans import events as event_plans
 from ostinato.plans.events import _METRICS, _RELIABLE
@@ -97,9 +97,9 @@ def routing_decisions(spark, sf_dir):
     return records.routed(states(spark, sf_dir)).select("perf", "idx", "content_state", "allowed", "suppressed")
 
 
-@query(with_sql(*_STATES) + "select perf, content_state, count(*) as n, round(avg(notes), 6) as mean_notes, round(avg(state_confidence), 6) as mean_confidence, grouping(perf)::int * 2 + grouping(content_state)::int as level from states group by rollup (perf, content_state)")
+@query(with_sql(*_STATES) + "select perf, content_state, count(*) as n, round(sum(round(notes * 1e9::double)::bigint)::double / count(notes) / 1e9::double, 6) as mean_notes, round(sum(round(state_confidence * 1e9::double)::bigint)::double / count(state_confidence) / 1e9::double, 6) as mean_confidence, grouping(perf)::int * 2 + grouping(content_state)::int as level from states group by rollup (perf, content_state)")
 def routing_diagnostics(spark, sf_dir):
-    rolled = states(spark, sf_dir).rollup("perf", "content_state").agg(F.count("*").alias("n"), F.round(F.avg("notes"), 6).alias("mean_notes"), F.round(F.avg("state_confidence"), 6).alias("mean_confidence"), F.grouping_id().cast("int").alias("level"))
+    rolled = states(spark, sf_dir).rollup("perf", "content_state").agg(F.count("*").alias("n"), mean6(F.col("notes")).alias("mean_notes"), mean6(F.col("state_confidence")).alias("mean_confidence"), F.grouping_id().cast("int").alias("level"))
     return rolled.select("perf", "content_state", "n", "mean_notes", "mean_confidence", "level")
 
 
@@ -134,7 +134,7 @@ def tags(spark, sf_dir):
     return records.tagged(vectors(spark, sf_dir))
 
 
-@query(with_sql(*WINDOWED, PULSES, _SMALL_VECTOR, _TAGS) + ", g as (select perf, tag, count(*) as n, max(tag_confidence) as best, round(avg(tag_confidence), 6) as mean, arg_max(idx, (tag_confidence, idx)) as example_idx from tags group by perf, tag) select *, (row_number() over (partition by perf order by best desc, n desc, tag))::int as rank from g")
+@query(with_sql(*WINDOWED, PULSES, _SMALL_VECTOR, _TAGS) + ", g as (select perf, tag, count(*) as n, max(tag_confidence) as best, round(sum(round(tag_confidence * 1e9::double)::bigint)::double / count(tag_confidence) / 1e9::double, 6) as mean, arg_max(idx, (tag_confidence, idx)) as example_idx from tags group by perf, tag) select *, (row_number() over (partition by perf order by best desc, n desc, tag))::int as rank from g")
 def tag_groups(spark, sf_dir):
     return records.tag_groups(records.tagged(vectors(spark, sf_dir)))
 
@@ -319,9 +319,9 @@ def buildup_release(spark, sf_dir):
     return two.where((d1 > d0 * 1.2) & (d1 > d2 * 1.2)).select("perf", F.col("idx").alias("first_idx"), F.col("n2.idx").alias("last_idx"), F.round(d1 - d0, 6).alias("rise"), F.round(d1 - d2, 6).alias("fall"))
 
 
-@query(with_sql(*_PAIR_CTES) + "select split, count(*) as n, round(avg(final_score), 6) as mean_score, round(avg(boundary), 6) as mean_boundary, round(avg(motif_), 6) as mean_motif from split_pairs group by split")
+@query(with_sql(*_PAIR_CTES) + "select split, count(*) as n, round(sum(round(final_score * 1e9::double)::bigint)::double / count(final_score) / 1e9::double, 6) as mean_score, round(sum(round(boundary * 1e9::double)::bigint)::double / count(boundary) / 1e9::double, 6) as mean_boundary, round(sum(round(motif_ * 1e9::double)::bigint)::double / count(motif_) / 1e9::double, 6) as mean_motif from split_pairs group by split")
 def pair_diagnostics(spark, sf_dir):
-    return records.pair_quality(pair_rows(spark, sf_dir)).groupBy("split").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(a) for c, a in (("final_score", "mean_score"), ("boundary", "mean_boundary"), ("motif", "mean_motif"))])
+    return records.pair_quality(pair_rows(spark, sf_dir)).groupBy("split").agg(F.count("*").alias("n"), *[mean6(F.col(c)).alias(a) for c, a in (("final_score", "mean_score"), ("boundary", "mean_boundary"), ("motif", "mean_motif"))])
 
 
 @query(with_sql(*_PAIR_CTES) + """, s as (select perf, list_sort(list(final_score)) as x from scored_pairs group by perf)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ostinato.functions.scalars import clamp01, pitch_class
+from ostinato.functions.scalars import clamp01, mean6, pitch_class
 from ostinato.operators import boundaries, policies, rhythm, segmentation, witnesses
 from ostinato.plans import events as event_plans
 from ostinato.plans import rhythm as rhythm_plans
@@ -101,7 +101,7 @@ def witness_consensus(spark, sf_dir):
 
 
 @query(with_sql(*_METRICS, _RELIABLE) + """select perf, count(*) as windows, count(case when status = 'success' then 1 end) as successful, 60.0::double * count(case when status = 'success' then 1 end) as represented_seconds,
-  round(60.0::double * count(case when status = 'success' then 1 end) / 720, 6) as coverage, sum(case when status = 'success' then notes else 0 end)::bigint as notes, round(avg(score), 6) as mean_score from weighted group by perf""")
+  round(60.0::double * count(case when status = 'success' then 1 end) / 720, 6) as coverage, sum(case when status = 'success' then notes else 0 end)::bigint as notes, round(sum(round(score * 1e9::double)::bigint)::double / count(score) / 1e9::double, 6) as mean_score from weighted group by perf""")
 def segment_benchmark(spark, sf_dir):
     """How much of a performance its successful windows stand for, and what they hold."""
     ok = F.col("status") == "success"
@@ -112,7 +112,7 @@ def segment_benchmark(spark, sf_dir):
         seconds.alias("represented_seconds"),
         F.round(seconds / music.DURATION, 6).alias("coverage"),
         F.sum(F.when(ok, F.col("notes")).otherwise(0)).alias("notes"),
-        F.round(F.avg("score"), 6).alias("mean_score"),
+        mean6(F.col("score")).alias("mean_score"),
     )
 
 
