@@ -1,9 +1,12 @@
 """Best-fit packing of documents' tokens into sequences: best-fit in each window, then a tree of best-fit rounds over what is left.
 
 Windows are equal shares of the pieces, dealt out whatever their source. A window packs its pieces by decreasing length, each into
-the fullest bin that has room. Bins that are nearly full are done; underfull bins go up a tree as items, eight groups to one, and
-are packed again, whole bin by whole bin. After a best-fit round at most one bin of a group is at most half full, so a group needs
-no more than its emptiest few bins to take in what the other seven send; the rest are done too. So what a task holds is bounded.
+the fullest bin that has room. Underfull bins go up a tree as items, FAN_IN groups to one, and are packed again, whole bin by whole bin.
+
+No bin that could still be merged stays behind. Two bins can only become one if one of them is at most half full, and after a
+best-fit round at most one bin of a group is (a second one would have fitted into it). So where FAN_IN groups meet there are at most
+FAN_IN bins to move, and a group sends that one together with its FAN_IN emptiest other bins: whichever of them takes a moved bin, the
+others are fuller and could not take more. So a task's rows are bounded by the fan-in, not by a cap.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from ostinato.llm.tokens import encoder
 
 CAPACITY, END = 2048, 0
 WINDOW = 40_000
-FAN_IN, SENT_UP = 8, 64
+FAN_IN = 8
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,20 +110,22 @@ def _merge_round(bins: DataFrame, capacity: int) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, window: int = WINDOW) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 (ids, if asked for), sequence_id and offset.
 
-    Null and empty texts are the end id alone. Only documents longer than a sequence are cut. Repeated rows are packed each.
-    Null ids are kept. An empty table gives no rows. Other columns are not read. ``window``: pieces that one task packs.
+    Null and empty texts are the end id alone. Only documents longer than a sequence are cut, also very long ones, into full pieces and
+    a rest. Pieces of equal length are packed in the order in which they come. Repeated rows are packed each. Null ids are kept. An empty
+    table gives no rows. Other columns are not read. ``window``: pieces that one task packs.
     """
     items = cut(pieces(docs, tokenizer, capacity, id_col, text_col, with_ids), "pieces")
     windows = max(1, -(-items.count() // window))
     packed = cut(_packed_windows(items, windows, capacity), "packed")
     moves = None
-    not_full = f"fill < {capacity - capacity // 64}"
+    not_full = f"fill < {capacity}"
     underfull = packed.where(f"offset = 0 and {not_full}").select(F.col("window").alias("grp"), "bin", "fill")
     groups = windows
     while groups > 1:
         groups = -(-groups // FAN_IN)
+        # The emptiest bin is the one that may be at most half full; the FAN_IN next ones may take it or those of other groups.
         emptiest = F.row_number().over(_by("grp", "fill", "bin"))
-        sent = underfull.withColumn("nth", emptiest).where(f"nth <= {SENT_UP}").select(F.floor(F.col("grp") / FAN_IN).alias("grp"), "bin", "fill")
+        sent = underfull.withColumn("nth", emptiest).where(f"nth <= {FAN_IN + 1}").select(F.floor(F.col("grp") / FAN_IN).alias("grp"), "bin", "fill")
         merged = cut(_merge_round(sent, capacity), "merged")
         step = merged.select("bin", "into", "shift")
         if moves is None:

@@ -195,12 +195,12 @@ from words left join lost using (r)
 
 _TOP_K_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
+  select vec_id, row_number() over () as r, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-q as (select distinct vec_id, v from v where vec_id % 100 = 0)
-select q.vec_id as query_id, (row_number() over (partition by q.vec_id order by list_inner_product(q.v::double[], c.v::double[]) desc, c.vec_id))::int as rank,
+q as (select * from v where vec_id % 100 = 0)
+select q.vec_id as query_id, (row_number() over (partition by q.r order by list_inner_product(q.v::double[], c.v::double[]) desc, c.vec_id))::int as rank,
        c.vec_id, list_inner_product(q.v::double[], c.v::double[])::bigint as score
-from q join v c on c.vec_id <> q.vec_id and len(c.v) = len(q.v)
+from q join v c on c.r <> q.r and len(c.v) = len(q.v)
 qualify rank <= 10
 """
 

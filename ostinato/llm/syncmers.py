@@ -23,12 +23,17 @@ from ostinato.llm.hashing import BASE, ODD, mixed, run_hashes, sliding_min
 K, S, BOTTOM = 24, 8, 128
 
 
+def inner_hashes(text: str, s: int = S) -> np.ndarray:
+    """The hash of each run of ``s`` code points."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    return run_hashes(mixed(points * ODD + BASE), s)
+
+
 def chosen_kmers(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     """(places, hashes) of the closed syncmers of a text; a short text may have none."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    if len(points) < k:
+    if len(text) < k:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    inner = run_hashes(mixed(points * ODD + BASE), s)
+    inner = inner_hashes(text, s)
     least = sliding_min(inner, k - s + 1)
     n = len(least)
     places = np.flatnonzero((inner[:n] == least) | (inner[k - s :] == least))
@@ -81,7 +86,11 @@ def from_string(value: str) -> np.ndarray:
 
 
 def syncmer_anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, s: int = S) -> DataFrame:
-    """(doc_id, place, hash) of every anchor of every text, for positional matching: join on hash. Empty and null texts have none."""
+    """(doc_id, place, hash) of every anchor of every text, for positional matching: join on hash.
+
+    Empty and null texts have none; very long texts have all of theirs. Of equally least inner hashes any at an edge counts. Repeated rows
+    have their anchors each, and null ids stay. An empty table gives no rows; other columns are not read.
+    """
     require(docs, id_col, text_col)
     small_batches(docs.sparkSession)
 

@@ -49,8 +49,11 @@ def pivot_table(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     return map_arrow(vectors.select("vec_id", "v"), run, f"vec_id {id_type}, v array<long>, dim int, to_pivots array<double>")
 
 
-def best_of_block(q_ids: np.ndarray, q: np.ndarray, q_to: np.ndarray, ids: np.ndarray, x: np.ndarray, x_to: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row of the query, ids, scores) of each query's k best candidates in one block: exact, ties to the smaller id."""
+def best_of_block(own: np.ndarray, q: np.ndarray, q_to: np.ndarray, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, x_to: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place of the query, ids, scores) of each query's k best candidates in one block: exact, ties to the smaller id.
+
+    own, rows: numbers of the queries' and of the candidates' rows; a query's own row is no candidate.
+    """
     q_norm, x_norm = np.sqrt((q.astype(np.float64) ** 2).sum(1)), np.sqrt((x.astype(np.float64) ** 2).sum(1))
     small = q_norm.max(initial=0) * x_norm.max(initial=0) < 2**52
     qs, xs = (q.astype(np.float64), x.astype(np.float64)) if small else (q.astype(object), x.astype(object))
@@ -60,7 +63,7 @@ def best_of_block(q_ids: np.ndarray, q: np.ndarray, q_to: np.ndarray, ids: np.nd
             apart = np.abs(x_to - q_to[i]).max(axis=1)
             bound = np.minimum(bound, (q_norm[i] ** 2 + x_norm**2 - apart**2) / 2)
         bound = bound + 1e-6 * (1 + q_norm[i] ** 2 + x_norm**2)  # rounding never lowers a bound
-        bound[ids == q_ids[i]] = -np.inf
+        bound[rows == own[i]] = -np.inf
         order = np.argsort(-bound, kind="stable")
         order = order[: np.count_nonzero(bound > -np.inf)]
         best_ids, best = np.empty(0, ids.dtype), np.empty(0, np.int64)
@@ -78,9 +81,9 @@ def best_of_block(q_ids: np.ndarray, q: np.ndarray, q_to: np.ndarray, ids: np.nd
 def top_k(vectors: DataFrame, is_query, k: int = TOP, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, n_pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that ``is_query`` (a condition on vec_id) the k best others by inner product.
 
-    Ties go to the smaller id; fewer others give fewer rows. Vectors of different lengths don't meet. Rows with the query's own id
-    are the query's own, also repeated ones; a query that is repeated with the same vector asks once. Null ids take no part.
-    Unusable vectors (see whole_vectors) take no part. An empty table gives no rows. Scores over 63 bits are an error.
+    Ties go to the smaller id; fewer others give fewer rows. Vectors of different lengths don't meet. Every row but the query's own is a
+    candidate, also one with the query's id; each row of a repeated id asks for itself. Null ids take no part. Unusable vectors (see
+    whole_vectors) take no part. An empty table gives no rows. Extra columns are not read. Scores over 63 bits are an error.
     """
     spark = vectors.sparkSession
     rows = whole_vectors(vectors, id_col, vector_col, scale).where("vec_id is not null")
@@ -89,23 +92,23 @@ def top_k(vectors: DataFrame, is_query, k: int = TOP, id_col: str = "vec_id", ve
     pivots: dict[int, list] = {}
     for r in picked:
         pivots.setdefault(len(r["v"]), []).append(r["v"])
-    known = cut(pivot_table(rows, {d: np.array(v, np.float64).reshape(-1, d) for d, v in pivots.items()}), "pivots")
-    asked = known.where(is_query).dropDuplicates(["vec_id", "v"])
-    asked = cut(asked.withColumn("asker", F.xxhash64("vec_id", "v")), "queries")
+    known = pivot_table(rows, {d: np.array(v, np.float64).reshape(-1, d) for d, v in pivots.items()})
+    known = cut(known.withColumn("row", F.monotonically_increasing_id()), "pivots")
+    asked = known.where(is_query).withColumn("asker", F.col("row"))
     blocks, query_blocks = max(1, -(-known.count() // BLOCK)), max(1, -(-asked.count() // QUERY_BLOCK))
     # Which block a row is in changes nothing in the result.
-    number = F.monotonically_increasing_id()
-    left = asked.withColumn("qb", F.pmod(F.xxhash64("asker"), F.lit(query_blocks))).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = known.withColumn("cb", F.pmod(number, F.lit(blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).withColumn("qb", F.col("qb").cast("long"))
+    left = asked.withColumn("qb", F.pmod(F.xxhash64("row"), F.lit(query_blocks))).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = known.withColumn("cb", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).withColumn("qb", F.col("qb").cast("long"))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if a.num_rows and b.num_rows:
             dim = a.column("dim")[0].as_py()
-            own, ids = a.column("vec_id").to_pylist(), b.column("vec_id").to_numpy()
+            own, askers = a.column("vec_id").to_numpy(), a.column("row").to_numpy()
+            rows, ids = b.column("row").to_numpy(), b.column("vec_id").to_numpy()
             parts = [_matrix(t.column(c), d) for t in (a, b) for c, d in (("v", dim), ("to_pivots", len(pivots.get(dim, []))))]
-            for i, found, scores in best_of_block(np.array(own), parts[0], parts[1], ids, parts[2], parts[3], k):
-                out.append((a.column("asker")[i].as_py(), own[i], found, scores))
+            for i, found, scores in best_of_block(askers, parts[0], parts[1], rows, ids, parts[2], parts[3], k):
+                out.append((askers[i], own[i], found, scores))
         n = [len(x[2]) for x in out]
         return pa.table({
             "asker": pa.array(np.repeat(np.array([x[0] for x in out], np.int64), n)),
@@ -115,7 +118,7 @@ def top_k(vectors: DataFrame, is_query, k: int = TOP, id_col: str = "vec_id", ve
         })
 
     keys = ["qb", "cb", "dim"]
-    met = left.select("vec_id", "v", "to_pivots", "asker", *keys).groupBy(*keys).cogroup(right.select("vec_id", "v", "to_pivots", *keys).groupBy(*keys))
+    met = left.select("vec_id", "v", "to_pivots", "row", *keys).groupBy(*keys).cogroup(right.select("vec_id", "v", "to_pivots", "row", *keys).groupBy(*keys))
     found = met.applyInArrow(run, "asker long, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("asker", "query_id").orderBy(F.desc("score"), "vec_id"))
     ranked = found.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -58,21 +58,43 @@ def bag(found):
 # 1. Fingerprints
 
 
-def plain_syncmers(text, k=syncmers.K, s=syncmers.S):
-    chosen = []
+def plain_syncmers(text, k=24, inner=8):
+    """(place, k-mer) of the closed syncmers, one inner substring at a time: the least hash lies first or last, and where several are
+    equally least one of them does. The inner hash is the module's, asked for one substring at a time."""
+    chosen, least = [], [int(syncmers.inner_hashes(text[i : i + inner])[0]) for i in range(len(text) - inner + 1)]
     for i in range(len(text) - k + 1):
-        inner = [syncmers.chosen_kmers(text[i : i + k])[0].size]
-        if inner[0]:
-            chosen.append(i)
+        order = least[i : i + k - inner + 1]
+        if min(order) in (order[0], order[-1]):
+            chosen.append((i, text[i : i + k]))
     return chosen
 
 
 def test_syncmers_are_context_free(rows):
-    for text in ["", "short", "x" * 40, rows[10][1][:400]]:
+    for text in ["", "short", "x" * 40, rows[10][1][:400], rows[24][1][:300]]:
         places, hashes = syncmers.chosen_kmers(text)
-        assert places.tolist() == plain_syncmers(text)
-        for place, value in list(zip(places.tolist(), hashes.tolist()))[::7]:
-            assert syncmers.chosen_kmers(text[place : place + syncmers.K])[1].tolist() == [value]
+        chosen = plain_syncmers(text)
+        assert places.tolist() == [i for i, _ in chosen]
+        # Equal k-mers have equal hashes, others don't, whatever stands around them.
+        assert len(set(zip(hashes.tolist(), (kmer for _, kmer in chosen)))) == len({kmer for _, kmer in chosen}) == len(set(hashes.tolist()))
+        for (_, kmer), value in list(zip(chosen, hashes.tolist()))[::7]:
+            assert syncmers.chosen_kmers(kmer)[1].tolist() == [value]
+
+
+def test_edit_likeness_from_the_definition(docs, rows):
+    """Edited texts, their hashes and both likenesses by sets of k-mers, without the module's sketches."""
+    order = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    expected = Counter()
+    like = lambda a, b: round(len(a & b) / len(a | b), 9) if a | b else 1.0
+    # A text without anchors has itself as its only one.
+    anchors = lambda x: {kmer for _, kmer in plain_syncmers(x)} or ({x} if x else set())
+    for (doc_id, text), (_, after) in zip(order, order[1:] + order[:1]):
+        if len(text) < 3000 and len(after) < 3000:
+            cut = len(text) // 3
+            edited = text[: len(text) - cut] + after[:cut]
+            expected[(doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), like(anchors(text), anchors(edited)), like(anchors(text), anchors(after)))] += 1
+    keys = {e[:3] for e in expected}
+    found = [(r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in syncmers.edit_likeness(docs).collect()]
+    assert len(expected) > 40 and Counter(f for f in found if f[:3] in keys) == expected
 
 
 def test_edit_likeness(docs, rows, empty):
@@ -522,16 +544,17 @@ def test_substring_keeps_white_space(spark):
 def plain_top(rows, k=10):
     good = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = Counter()
-    for i, q in {(i, tuple(q)) for i, q in good if i % 100 == 0}:
-        scores = sorted((-sum(a * b for a, b in zip(q, x)), j) for j, x in good if j != i and len(x) == len(q))[:k]
-        out.update((i, n + 1, j, -s) for n, (s, j) in enumerate(scores))
+    for own, (i, q) in enumerate(good):
+        if i % 100 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(q, x)), j) for row, (j, x) in enumerate(good) if row != own and len(x) == len(q))[:k]
+            out.update((i, n + 1, j, -s) for n, (s, j) in enumerate(scores))
     return out
 
 
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=12).round(3).tolist()) for i in range(400)]
-    rows += [(1000 + i, rows[5][1]) for i in range(30)] + [(500, rows[5][1]), (600, [1.0, 2.0]), (601, [3.0, 4.0]), (700, []), (701, []), (800, [3e7] * 12), (None, [1.0] * 12), (900, None), (901, [None] * 12), (1000, [float("nan")] * 12), (1100, [float("inf")] * 12), rows[7], rows[100]]
+    rows += [(1000 + i, rows[5][1]) for i in range(30)] + [(500, rows[5][1]), (600, [1.0, 2.0]), (601, [3.0, 4.0]), (700, []), (701, []), (800, [3e7] * 12), (None, [1.0] * 12), (900, None), (901, [None] * 12), (1000, [float("nan")] * 12), (1100, [float("inf")] * 12), rows[7], rows[100], (200, rows[3][1])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     rounded = [(r["vec_id"], r["embedding"]) for r in frame.collect()]
     got = topk.top_k(frame.selectExpr("*", "1 as v", "2 as dim", "3 as score").repartition(3), F.col("vec_id") % 100 == 0)
