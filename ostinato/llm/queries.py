@@ -139,6 +139,7 @@ from placed where not (common and part = 'rejected')
 
 def _license_sql() -> str:
     quoted = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in licenses.TEMPLATES)
+    told = ", ".join(f"'{t}'" for t in licenses.telling_terms())
     return (
         r"""
 with files as (
@@ -146,24 +147,28 @@ with files as (
          case when doc_id % 20 = 0 then folder || '/LICENSE.' || doc_id else folder || '/' || (doc_id // 1000) || '/' || doc_id || '.txt' end as path,
          case when doc_id % 20 = 0 then folder else folder || '/' || (doc_id // 1000) end as directory
   from documents),
+units as (
+  select file_id, string_split(text, chr(10)) || regexp_split_to_array(text, '\n[ \t*#/]*\n') || case when file_id % 20 = 0 then [text] else [] end as every from files where text is not null),
 found as (
-  select distinct file_id, trim(line, ' ') as line from (select file_id, unnest(string_split(text, chr(10))) as line from files)
-  where regexp_matches(line, '(?i)licen[cs]|copyright|spdx|all rights reserved')),
+  select distinct file_id, trim(line, ' ') as line from (select file_id, unnest(every) as line from units)
+  where len(list_intersect(regexp_extract_all(lower(line), '[a-z0-9]+'), ["""
+        + told
+        + r"""])) >= 2),
 lines as (select line, count(*) as n from found group by line),
 notices as (select * from (values """
         + quoted
         + r""") as t(license, notice)),
 tf as (select line, any_value(n) as n, term, count(*) as tf from (select line, n, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) as term from lines) group by line, term),
-own as (select license, term, count(*) as tf from (select license, unnest(regexp_extract_all(lower(notice), '[a-z0-9]+')) as term from notices) group by license, term),
+own as (select license, notice, term, count(*) as tf from (select license, notice, unnest(regexp_extract_all(lower(notice), '[a-z0-9]+')) as term from notices) group by license, notice, term),
 df as (select term, sum(n) as df from (select term, n from tf union all select term, 1 from own) group by term),
 idf as (select term, ln((1.0::double + (select coalesce(sum(n), 0) from lines) + (select count(*) from notices)) / (1.0::double + df)) + 1.0::double as idf from df),
 a as (select line, term, tf * idf as w from tf join idf using (term)),
-b as (select license, term, tf * idf as v from own join idf using (term)),
+b as (select license, notice, term, tf * idf as v from own join idf using (term)),
 cosines as (
   select d.line, d.license, round(d.dot / (an.norm * bn.norm), 6) as cosine
-  from (select line, license, sum(w * v) as dot from a join b using (term) group by line, license) d
+  from (select line, license, notice, sum(w * v) as dot from a join b using (term) group by line, license, notice) d
   join (select line, sqrt(sum(w * w)) as norm from a group by line) an using (line)
-  join (select license, sqrt(sum(v * v)) as norm from b group by license) bn using (license)),
+  join (select license, notice, sqrt(sum(v * v)) as norm from b group by license, notice) bn using (license, notice)),
 best as (select line, license, cosine from cosines where cosine >= 0.5 qualify row_number() over (partition by line order by cosine desc, license) = 1),
 own_license as (
   select file_id, license as own_license, cosine from found join best using (line)

@@ -278,6 +278,23 @@ def test_licenses(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
 
 
+def test_whole_notices(spark):
+    """License files and header blocks are found by their words, also wrapped, also without any word for license."""
+    notice = {(a, len(b)): b for a, b in licenses.TEMPLATES}
+    longest = {a: notice[a, max(n for x, n in notice if x == a)] for a, _ in notice}
+    wrap = lambda text, mark: "\n".join(mark + " ".join(text.split()[i : i + 9]) for i in range(0, len(text.split()), 9))
+    code = "import nothing\n\nfor each in some_list:\n    print(each)\n"
+    files = []
+    for i, name in enumerate(sorted(longest)):
+        files.append((3 * i, f"{i}/COPYING", "Copyright somebody\n\n" + longest[name] + "\n\nNo promises are made here.", name))
+        files.append((3 * i + 1, f"other{i}/x.py", wrap(longest[name], "# ") + "\n\n" + code, name))
+        files.append((3 * i + 2, f"{i}/deep/y.py", code, name))
+    long = (9999, "long/z.txt", "word and other words in a very long line " * 30_000, None)
+    rows = [*files, long]
+    got = {r["file_id"]: r["license"] for r in licenses.scan_licenses(spark.createDataFrame([r[:3] for r in rows], "doc_id long, path string, text string")).collect()}
+    assert got == {r[0]: r[3] for r in rows}
+
+
 # 7. Toxicity
 
 
