@@ -85,7 +85,8 @@ def mix(docs: DataFrame, weights: list[float] | None = None, share: float = 1.0,
 
     Each source's taken words are its target, rounded. Null texts and texts without words have size 0 and nothing taken. Null is a
     source of its own, the last. Ties in the random order (repeated ids) are broken by size; rows that are equal in both share what
-    is taken in any order. An empty table gives no rows, and sources without words take nothing. Other columns are not read.
+    is taken in any order. Very long texts count whole. An empty table gives no rows, and sources without words take nothing. Other
+    columns are not read.
     """
     require(docs, id_col, text_col, source_col)
     own = cut(_sized(docs, id_col, text_col, source_col), "sized")

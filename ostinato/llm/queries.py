@@ -132,7 +132,8 @@ differs as (
 placed as (select s.*, d.first is null or s.turn < d.first as common from sides s left join differs d using (pair_id))
 select pair_id, case when common then 'prompt' else part end as part, turn, role,
        '<|' || replace(replace(role, '<|', '< |'), '|>', '| >') || '|>' || chr(10) || replace(replace(text, '<|', '< |'), '|>', '| >') || '<|end|>' || chr(10) as rendered,
-       not common and role = 'assistant' as trained
+       not common and role = 'assistant' as trained,
+       case when not common and role = 'assistant' then length('<|' || role || '|>' || chr(10))::int end as trained_from
 from placed where not (common and part = 'rejected')
 """
 

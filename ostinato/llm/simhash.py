@@ -97,7 +97,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null and empty texts have fingerprint zero and link like any other. Repeated rows each keep their row. A null doc_id counts
     as no id: its row is kept, and it gives its component no name unless no member has an id (then null). An empty table gives
-    no rows. Columns other than the two named are not read.
+    no rows. Very long texts are read whole. Columns other than the two named are not read.
     """
     own, rooted = _rooted(docs, id_col, text_col, size, seed)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -1,11 +1,13 @@
 """Substring dedup: every word covered by a window of ``length`` words that also starts somewhere else goes.
 
 Seed and extend. Winnowing picks, for each window, its anchor: the run of ``gram`` words with the least hash in the window (the
-first of equals). Equal windows have the same anchor at the same place, so only occurrences of the same anchor can match. All
-windows that share one occurrence of an anchor lie next to each other; the text that they cover, reaching both ways from the
-anchor, is its span. Spans that are equal as a whole match in all their windows and are counted, never paired. Where an anchor
-has different spans, one representative of each is extended word by word: its windows are hashed and counted with the span's
-number of occurrences. What is kept of that is one bit per window, for each span.
+first of equals). Equal windows have the same anchor at the same place, so only occurrences of the same anchor can match, and an
+anchor's occurrence can be extended both ways only as far as the windows that share it reach: that text is its span. Occurrences meet
+by joining on the anchor. Spans that are equal as a whole match in full, to both sides, and are counted, never paired. Where an anchor has
+different spans, one representative of each kind is extended: aligned by the anchor, two spans share a window exactly if their words
+agree that far to the left and to the right, so the windows around the anchor are compared by hash and counted with the span's number of
+occurrences, instead of pair by pair, which would be all pairs of a frequent anchor's spans. The maximal repeat is the union of the
+windows that match; what is kept of it is one bit per window, for each span.
 """
 
 from __future__ import annotations
@@ -161,8 +163,8 @@ def _gone(text: bytes, words: int, marks: pa.Scalar, length: int) -> np.ndarray:
 def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (of the words kept, joined by a space).
 
-    Null and empty texts have no words. Texts shorter than a window lose nothing. Repeated rows are copies of each other, so all
-    of their windows repeat. Null ids are ids like any other. An empty table gives no rows; other columns are not read.
+    Null and empty texts have no words. Texts shorter than a window lose nothing; very long ones are read whole. Repeated rows are copies
+    of each other, so all of their windows repeat. Null ids are ids like any other. An empty table gives no rows; other columns are not read.
     """
     require(docs, id_col, text_col)
     small_batches(docs.sparkSession)

@@ -187,6 +187,29 @@ def test_preferences(spark):
     assert preferences.format_preferences(nothing, nothing).count() == 0
 
 
+def test_pairs_in_one_row(spark):
+    schema = "pair_id long, turn long, role string, text string"
+    c = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 2, "user", "why"), (1, 3, "assistant", "so"), (2, 0, "user", "q"), (3, 0, "assistant", "long " * 50_000)]
+    r = [(1, 0, "user", "hi"), (1, 1, "assistant", "no"), (2, 0, "user", "q")]
+    rows = preferences.format_preferences(spark.createDataFrame(c, schema), spark.createDataFrame(r, schema))
+    got = {x["pair_id"]: x for x in preferences.paired(rows).collect()}
+    assert got[1]["prompt"] == "<|user|>\nhi<|end|>\n" and got[2]["prompt"] == "<|user|>\nq<|end|>\n" and got[2]["chosen"] == got[2]["rejected"] == ""
+    trained = lambda x, side: [x[side][a:b] for a, b in x[side + "_spans"]]
+    assert trained(got[1], "chosen") == ["yes<|end|>\n", "so<|end|>\n"] and trained(got[1], "rejected") == ["no<|end|>\n"]
+    assert trained(got[2], "chosen") == [] and trained(got[3], "chosen") == ["long " * 50_000 + "<|end|>\n"]
+    assert preferences.paired(rows.limit(0)).count() == 0
+
+
+def test_replies_against_partner(spark):
+    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 2, "user", "more"), (1, 0, "user", "q"), (1, 1, "assistant", "b"), (1, 1, "assistant", "a2"), (2, 0, "user", "alone"), (4, 0, "user", "q"), (4, 1, "assistant", None), (6, None, "assistant", "x"), (7, 0, None, None), (None, 0, "assistant", "z")]
+    frame = spark.createDataFrame([(*r, 9, 9) for r in rows], "conv_id long, turn long, role string, text string, pair_id int, _last int")
+    chosen, rejected = (sorted(map(tuple, x.collect()), key=str) for x in preferences.replies_against_partner(frame))
+    assert chosen == sorted([r for r in rows if r[0] is not None and r != (0, 2, "user", "more")], key=str)
+    assert [x for x in rejected if x[0] in (0, 1, 4)] == sorted([(0, 0, "user", "q"), (0, 1, "assistant", "a2"), (1, 0, "user", "q"), (1, 1, "assistant", "a"), (4, 0, "user", "q"), (4, 1, "assistant", "")], key=str)
+    assert [x for x in rejected if x[0] not in (0, 1, 4)] == [x for x in chosen if x[0] not in (0, 1, 4)]
+    assert all(x.count() == 0 for x in preferences.replies_against_partner(frame.limit(0)))
+
+
 # 4. Token files
 
 
