@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 from ostinato.llm.common import as_texts, cut, map_arrow, require, small_batches
 
-BLOCK, NEIGHBOURS, THRESHOLD = 128, 15, 0.3
+BLOCK, NEIGHBOURS, THRESHOLD = 256, 15, 0.3
+#: Texts that are searched in one go, so that short ones share the cost of a step.
+TOGETHER = 8
 MAX_LABELLED, MAX_EXAMPLES = 20_000, 1_024
 PREFIXES = (4, 5, 6, 7)
 POWER, PRIOR_VOTES, FLOOR = 4, 0.02, 0.05
@@ -44,8 +46,16 @@ def word_terms(word: str) -> list[str]:
 
 
 def text_counts(text: str) -> dict[str, int]:
-    """How often each term of a text occurs in it."""
-    return Counter(chain.from_iterable(map(word_terms, _WORDS(text.lower()))))
+    """How often each term of a text occurs in it. The terms of a word are made once, however often it occurs."""
+    words = Counter(_WORDS(text.lower()))
+    counts = dict(words)
+    for word, n in words.items():
+        for size in PREFIXES:
+            if len(word) <= size:
+                break
+            term = word[:size] + "~"
+            counts[term] = counts.get(term, 0) + n
+    return counts
 
 
 class Vocabulary:
@@ -109,34 +119,45 @@ class Postings:
         return self.at[a:b], self.weight[a:b]
 
     def nearest(self, terms: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a cosine over 0, ties to the smaller number; exact.
+        """(examples, cosines) of the k nearest with a cosine over 0, ties to the smaller number; exact."""
+        return self.nearest_of([(terms, values)], k)[0]
 
-        The block with the best bound is visited first; then all blocks whose bound reaches the k-th best cosine of that one.
+    def nearest_of(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """:meth:`nearest` of a few texts at once, each (terms, values).
+
+        Each text visits the block with its best bound first; then all blocks whose bound reaches the k-th best cosine of that one.
         """
+        terms, values = (np.concatenate([t[i] for t in texts]) for i in (0, 1))
+        text = np.repeat(np.arange(len(texts)), [len(t) for t, _ in texts])
         sizes = self.entry_starts[terms + 1] - self.entry_starts[terms]
-        entries, value = _ranges(self.entry_starts[terms][sizes > 0], sizes[sizes > 0]), np.repeat(values, sizes)
-        if not len(entries):
-            return np.empty(0, np.int64), np.empty(0)
-        block = self.entry_block[entries]
-        bounds = np.bincount(block, value * self.entry_max[entries], -(-self.examples // BLOCK))
+        entries, value, text = _ranges(self.entry_starts[terms][sizes > 0], sizes[sizes > 0]), np.repeat(values, sizes), np.repeat(text, sizes)
+        blocks = max(1, -(-self.examples // BLOCK))
+        cell = text * blocks + self.entry_block[entries]
+        bounds = np.bincount(cell, value * self.entry_max[entries], len(texts) * blocks).reshape(-1, blocks)
         starts, sizes = self.starts[entries], self.starts[entries + 1] - self.starts[entries]
+        text = text * self.examples
 
-        def visit(blocks: np.ndarray) -> np.ndarray:
-            some = blocks[block]
-            places = _ranges(starts[some], sizes[some])
-            return np.bincount(self.at[places], np.repeat(value[some], sizes[some]) * self.weight[places], self.examples)
+        def visit(cells: np.ndarray) -> np.ndarray:
+            some = np.flatnonzero(cells.ravel()[cell])
+            n = sizes[some]
+            places = _ranges(starts[some], n)
+            return np.bincount(np.repeat(text[some], n) + self.at[places], np.repeat(value[some], n) * self.weight[places], len(texts) * self.examples).reshape(len(texts), -1)
 
-        def kth(found: np.ndarray) -> float:
-            return max(np.partition(found, -k)[-k] if len(found) > k else 0.0, 1e-300)
+        def kth(found: np.ndarray) -> np.ndarray:
+            least = np.partition(found, -k, axis=1)[:, -k] if self.examples > k else np.zeros(len(found))
+            return np.maximum(least, 1e-300)
 
-        first = np.arange(len(bounds)) == np.argmax(bounds)
+        first = np.arange(blocks) == bounds.argmax(axis=1)[:, None]
         found = visit(first)
-        rest = ~first & (bounds > 0) & (bounds >= kth(found) - 1e-9)
+        rest = ~first & (bounds > 0) & (bounds >= kth(found)[:, None] - 1e-9)
         if rest.any():
             found += visit(rest)
-        here = np.flatnonzero((found > 0) & (found >= kth(found) - 1e-8))  # those that can't be among the k best aren't sorted
-        best = here[np.lexsort((here, -found[here].round(9)))[:k]]
-        return best, found[best]
+        out = []
+        for row, least in zip(found, kth(found)):
+            here = np.flatnonzero((row >= least - 1e-8) & (row > 0))  # those that can't be among the k best aren't sorted
+            best = here[np.lexsort((here, -row[here].round(9)))[:k]]
+            out.append((best, row[best]))
+        return out
 
 
 @dataclass
@@ -164,20 +185,22 @@ class Index:
         some = values > 0
         return terms[some], values[some] / (norm or 1.0)
 
-    def nearest(self, terms: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        return self.postings.nearest(terms, values, k)
-
-    def vote(self, number: np.ndarray, tf: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """(share of toxic votes, nearest examples, cosines); ``without``: an example that has no vote."""
-        at, near = self.nearest(*self.weights(number, tf), k + (without >= 0))
-        near, at = near[at != without][:k], at[at != without][:k]
-        weight = near**POWER * self.stands_for[at]
-        return float((weight @ self.labels[at] + self.prior * PRIOR_VOTES) / (weight.sum() + PRIOR_VOTES)), at, near
+    def votes(self, texts: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None, k: int = NEIGHBOURS) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """(share of toxic votes, nearest examples, cosines) of texts, each (term numbers, counts); ``without``: examples that have no vote."""
+        out = []
+        for start in range(0, len(texts), TOGETHER):
+            part = [self.weights(*t) for t in texts[start : start + TOGETHER]]
+            for i, (at, near) in enumerate(self.postings.nearest_of(part, k + (without is not None))):
+                if without is not None:
+                    near, at = near[at != without[start + i]][:k], at[at != without[start + i]][:k]
+                weight = near**POWER * self.stands_for[at]
+                out.append((float((weight @ self.labels[at] + self.prior * PRIOR_VOTES) / (weight.sum() + PRIOR_VOTES)), at, near))
+        return out
 
-    def score(self, text: str) -> tuple[float, np.ndarray, np.ndarray]:
-        """(score, nearest examples, cosines)."""
-        raw, at, near = self.vote(*self.vocabulary.arrays(text_counts(text)))
-        return float(np.clip(np.interp(raw, *self.curve), 0, 1)), at, near
+    def scores(self, texts: list[str]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """(score, nearest examples, cosines) of each text."""
+        votes = self.votes([self.vocabulary.arrays(text_counts(t)) for t in texts])
+        return [(float(np.clip(np.interp(raw, *self.curve), 0, 1)), at, near) for raw, at, near in votes]
 
 
 def rising(raw: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -314,7 +337,7 @@ def build_index(examples: Examples, counts: np.ndarray, corpus_terms: int, ratio
     if n:
         starts = np.searchsorted(examples.at, np.arange(n + 1))
         of = lambda i: slice(starts[i], starts[i + 1])
-        raw = np.array([index.vote(examples.term[of(i)], examples.tf[of(i)], without=place[i])[0] for i in range(n)])
+        raw = np.array([v[0] for v in index.votes([(examples.term[of(i)], examples.tf[of(i)]) for i in range(n)], without=place.tolist())])
         index.curve = rising(raw, examples.labels, examples.stands_for)
     return index
 
@@ -348,7 +371,7 @@ def score_column(index: Index):
 
     @F.pandas_udf("score double, evidence array<struct<example: string, toxic: int, cosine: double>>")
     def scored(texts: pd.Series) -> pd.DataFrame:
-        out = [shared.score(t or "") for t in texts]
+        out = shared.scores([t or "" for t in texts])
         evidence = [[{"example": str(shared.ids[a]), "toxic": int(shared.labels[a]), "cosine": float(c)} for a, c in zip(at[:3].tolist(), near[:3].tolist())] for _, at, near in out]
         return pd.DataFrame({"score": [s for s, _, _ in out], "evidence": evidence})
 
