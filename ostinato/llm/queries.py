@@ -140,7 +140,7 @@ from placed where not (common and part = 'rejected')
 
 def _license_sql() -> str:
     quoted = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in licenses.TEMPLATES)
-    told = ", ".join(f"'{t}'" for t in licenses.telling_terms())
+    told, known = (", ".join(f"'{t}'" for t in licenses.template_terms(n)) for n in (licenses.TELLING, 1))
     return (
         r"""
 with files as (
@@ -154,7 +154,9 @@ found as (
   select distinct file_id, trim(line, ' ') as line from (select file_id, unnest(every) as line from units)
   where len(list_intersect(regexp_extract_all(lower(line), '[a-z0-9]+'), ["""
         + told
-        + r"""])) >= 2),
+        + r"""])) >= 2 and 10 * len(list_intersect(regexp_extract_all(lower(line), '[a-z0-9]+'), ["""
+        + known
+        + r"""])) >= len(list_distinct(regexp_extract_all(lower(line), '[a-z0-9]+')))),
 lines as (select line, count(*) as n from found group by line),
 notices as (select * from (values """
         + quoted
