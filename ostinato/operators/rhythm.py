@@ -251,11 +251,18 @@ def token_grid(gaps: DataFrame) -> DataFrame:
 
 
 def motif_ngrams(grid: DataFrame, shortest: int = 3, longest: int = 12) -> DataFrame:
-    """REGION, size, place, gram: every run of tokens that has at least two onsets."""
+    """REGION, size, place, gram, marks: every run of tokens that has at least two onsets, and its accents."""
     sizes = grid.withColumn("size", F.explode(F.sequence(F.lit(shortest), F.lit(longest)))).where(F.col("size") <= F.col("steps"))
     runs = sizes.withColumn("place", F.explode(F.sequence(F.lit(1), F.col("steps") - F.col("size") + 1)))
-    gram = F.substr(F.col("tokens"), F.col("place"), F.col("size"))
-    return runs.select(*REGION, "size", F.col("place").alias("place"), gram.alias("gram")).where(F.length("gram") - F.length(F.replace("gram", F.lit("x"), F.lit(""))) >= 2)
+    gram, marks = (F.substr(F.col(c), F.col("place"), F.col("size")) for c in ("tokens", "accents"))
+    runs = runs.select(*REGION, "size", F.col("place").alias("place"), gram.alias("gram"), marks.alias("marks"))
+    return runs.where(F.length("gram") - F.length(F.replace("gram", F.lit("x"), F.lit(""))) >= 2)
+
+
+def onset_ratios(gram: Column) -> Column:
+    """Steps between a pattern's onsets in pulses, a step being half a pulse."""
+    at = F.filter(F.sequence(F.lit(1), F.length(gram)), lambda i: F.substr(gram, i, F.lit(1)) == "x")
+    return F.zip_with(F.slice(at, 2, F.size(at)), F.slice(at, 1, F.size(at) - 1), lambda b, a: (b - a) / 2.0)
 
 
 def motif_groups(grams: DataFrame, least: int = 2) -> DataFrame:

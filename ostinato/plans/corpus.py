@@ -143,42 +143,107 @@ def source_label_audit(spark, sf_dir):
     return english.join(toxic, "source", "full_outer").select("source", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
 
 
-_LEXICON = "cells as (select * from (values " + ", ".join(f"('{f}', '{p}', '{a}', {str(r).lower()})" for f, p, a, r in lexicon.PATTERNS) + """) as t(family, pattern, accents, rotates)),
-turned as (select family, substr(pattern, i + 1) || substr(pattern, 1, i) as target, substr(accents, i + 1) || substr(accents, 1, i) as target_accents from (select *, unnest(range(0, case when rotates then length(pattern) else 1 end)) as i from cells))"""
-_MATCH = """places as (select m.motif_id, m.repeats, m.pattern, t.family,
-  list_filter(range(1, length(m.pattern) + 1), lambda i: m.pattern[i] = 'x') as a, list_filter(range(1, length(t.target) + 1), lambda i: t.target[i] = 'x') as b,
-  list_filter(range(1, length(m.accents) + 1), lambda i: m.accents[i] = 'X') as c, list_filter(range(1, length(t.target_accents) + 1), lambda i: t.target_accents[i] = 'X') as d from motifs m cross join turned t),
-sim as (select motif_id, repeats, pattern, family, round(case when len(list_distinct(a || b)) > 0 then len(list_intersect(a, b)) / len(list_distinct(a || b))::double else 0 end, 6) as token,
-  round(case when len(list_distinct(c || d)) > 0 then len(list_intersect(c, d)) / len(list_distinct(c || d))::double else 0 end, 6) as accent,
-  round(0.25::double * least(1, length(pattern) / 12.0::double) + 0.35::double * least(1, len(list_filter(range(2, greatest(length(pattern), 2) + 1), lambda i: pattern[i] <> pattern[i - 1])) / greatest(length(pattern) - 1, 1)::double)
-    + 0.2::double * least(1, length(replace(pattern, 'x', '')) / greatest(length(pattern), 1)::double) + 0.2::double * least(1, repeats / 8.0::double), 6) as info from places),
-top as (select motif_id, family, max(token) as token, max(accent) as accent, any_value(info) as info, any_value(repeats) as repeats from sim group by motif_id, family),
-conf as (select *, round((0.6::double * token + 0.22::double * accent) * case when repeats <= 1 then 0.85::double else 1 end * case when token <= 0.2 then 0.7::double else 1 end, 6) as confidence, round(least(1, 0.6::double * token + 0.15::double * info), 6) as specificity from top),
-ranks as (select *, row_number() over w as rank, confidence - lead(confidence) over w as gap from conf window w as (partition by motif_id order by confidence desc, family))"""
-_MOTIFS = "motifs as (select gram || '@' || perf as motif_id, gram as pattern, '' as accents, count(*) as repeats from grams where size = 8 group by perf, gram having count(*) >= 2)"
+_LEXICON = "cells as (select * from (values " + ", ".join(f"({n}, '{p}', '{f}', {t}::bigint[], {r}::double[][], {a}::bigint, " + ", ".join(f"{x}::double" for x in limits) + f", '{needs}')" for n, p, f, t, r, a, *limits, needs in lexicon.known_patterns()) + """) as t(nth, pattern_id, family, targets, known_ratios, known_accents, least_, strong_, moderate_, specific_, unsure_, needs))"""
+_MATCH = """own as (
+  select *, length(pattern) as n, len(places) as onsets, length(pattern) - len(places) as rests, len(list_filter(range(2, greatest(length(pattern), 1) + 1), lambda i: pattern[i] <> pattern[i - 1])) as runs,
+         coalesce(list_sum(list_transform(places, lambda i: 1::bigint << (i - 1)::bigint)), 0)::bigint as own_onsets,
+         coalesce(list_sum(list_transform(list_filter(range(1, length(accents) + 1), lambda i: accents[i] = 'X'), lambda i: 1::bigint << (i - 1)::bigint)), 0)::bigint as own_accents
+  from (select *, list_filter(range(1, length(pattern) + 1), lambda i: pattern[i] = 'x') as places from motifs)),
+told as (select *, n > 0 and rests = 0 as all_onsets, case when n > 0 then round(0.25::double * least(1, n / 12.0::double) + 0.35::double * least(1, runs / greatest(n - 1, 1)::double) + 0.2::double * least(1, rests / n::double) + 0.2::double * least(1, repeats / 8.0::double), 6) else 0 end as info,
+  pattern like '%..x..x%' or pattern like '%x..x..x%' or len(list_filter(ratios, lambda v: v between 0.62::double and 0.70::double or v between 1.9::double and 2.1::double)) > 0 as triplets,
+  pattern like '%x..x..x%' or coalesce(abs(ratios[1] - 1.5) < 0.2::double, false) or coalesce(abs(ratios[2] - 1.5) < 0.2::double, false) or coalesce(abs(ratios[3] - 1) < 0.2::double, false) as skeleton from own),
+sim as (
+  select m.*, c.*, round(list_max(list_transform(targets, lambda t: case when bit_count(own_onsets | t) > 0 then bit_count(own_onsets & t) / bit_count(own_onsets | t)::double else 0 end)), 6) as token,
+    round(case when bit_count(own_accents | known_accents) > 0 then bit_count(own_accents & known_accents) / bit_count(own_accents | known_accents)::double else 0 end, 6) as accent,
+    case when len(ratios) = 0 then 0 else list_max(list_transform(known_ratios, lambda k: round(greatest(0, 1 - list_sum(list_transform(range(1, least(len(k), len(ratios)) + 1), lambda i: least(1, abs(ratios[i] - k[i]) / greatest(0.001::double, abs(k[i]))))) / least(len(k), len(ratios))), 6))) end as ratio
+  from told m cross join cells c),
+weighed as (
+  select *, (n = 0)::int + (n > 0 and onsets <= 1)::int + (n > 0 and rests = 0)::int + (n > 0 and runs <= 1)::int + all_onsets::int + (info < 0.25::double)::int
+    + case family when 'tresillo_3_3_2' then (onsets < 3)::int + (rests < 2)::int + (not skeleton)::int when 'clave' then (onsets < 5)::int + (n < 12)::int when 'shuffle' then (not triplets)::int when 'twelve_eight_gospel' then (not triplets)::int
+      when 'sparse_call_response' then (rests < onsets)::int + (repeats < 2)::int when 'backbeat' then (own_accents = 0)::int else 0 end as against,
+    (token <= 0.2::double)::int + (needs = 'accent' and accent <= 0.2::double)::int + (needs = 'ratio' and ratio <= 0.2::double)::int as lacking from sim),
+conf as (
+  select *, against + lacking as reasons, round((0.6::double * token + 0.22::double * accent + 0.18::double * ratio) * case when all_onsets then 0.45::double else 1 end * case when info < 0.25::double then 0.65::double else 1 end * case when repeats <= 1 then 0.85::double else 1 end
+    * greatest(0.1::double, 1 - least(0.5::double, 0.07::double * against)) * case when lacking >= 1 then 0.7::double else 1 end * case when lacking >= 2 then 0.7::double else 1 end + 1e-9::double, 6) as confidence,
+    round(least(1, 0.6::double * token + 0.25::double * ratio + 0.15::double * info) + 1e-9::double, 6) as specificity from weighed),
+ranks as (select *, row_number() over w as rank, confidence - lead(confidence) over w as gap from conf window w as (partition by motif_id order by confidence desc, nth)),
+judged as (select *, greatest(0, least(1, 1 - gap / 0.12::double)) as amb, confidence >= 0.6::double and gap < 0.03::double as tied from ranks where rank <= 3),
+matched as (select motif_id, rank::int as rank, pattern_id, family, token, accent, ratio, confidence, specificity, reasons::int as reasons, case when rank = 1 then round(amb, 6) end as ambiguity,
+  case when rank > 1 then null when amb > unsure_ then 'ambiguous' when confidence < least_ or specificity < specific_ then 'weak' when tied or amb >= unsure_ then 'ambiguous' when all_onsets then 'weak'
+    when confidence < moderate_ then case when amb <= least(0.6::double, unsure_) and reasons <= 2 then 'moderate' else 'weak' end
+    when confidence >= strong_ and specificity >= 0.45::double and amb <= 0.3::double and reasons <= 1 then 'strong' else 'moderate' end as strength,
+  case when rank = 1 and not tied then family end as match from judged)"""
+_MOTIFS = """firsts as (select perf, gram, count(*) as repeats, count(distinct idx) as regions, replace(arg_min(marks, (idx, place)), 'A', 'X') as accents from grams group by perf, gram having count(*) >= 2),
+motifs as (select gram || '@' || perf as motif_id, perf, gram as pattern, accents, repeats, list_transform(range(2, len(p) + 1), lambda i: (p[i] - p[i - 1]) / 2.0::double) as ratios
+  from (select *, list_filter(range(1, length(gram) + 1), lambda i: gram[i] = 'x') as p from firsts))"""
+_MOTIF_CTES = [*BINNED, PULSES, _GRID, _GRAMS, _MOTIFS, _LEXICON, _MATCH]
 
 
 def motif_rows(spark, sf_dir):
-    grams = rhythm.motif_ngrams(grids(spark, sf_dir), 8, 8)
-    return grams.groupBy("perf", "gram").agg(F.count("*").alias("repeats")).where("repeats >= 2").select(F.concat("gram", F.lit("@"), "perf").alias("motif_id"), F.col("gram").alias("pattern"), F.lit("").alias("accents"), "repeats")
+    """Motifs of 3 to 12 steps that a performance repeats, with the accents of their first place and their onsets' ratios."""
+    grams = rhythm.motif_ngrams(grids(spark, sf_dir))
+    grouped = grams.groupBy("perf", "gram").agg(F.count("*").alias("repeats"), F.min_by("marks", F.struct("idx", "place")).alias("marks")).where("repeats >= 2")
+    return grouped.select("perf", F.concat("gram", F.lit("@"), "perf").alias("motif_id"), F.col("gram").alias("pattern"), F.translate("marks", "A", "X").alias("accents"), "repeats", rhythm.onset_ratios(F.col("gram")).alias("ratios"))
 
 
-@query(with_sql(*BINNED, PULSES, _GRID, _GRAMS, _MOTIFS, _LEXICON, _MATCH) + "select motif_id, rank::int as rank, family, token, accent, confidence, specificity, case when rank = 1 then round(greatest(0, least(1, 1 - gap / 0.12)), 6) end as ambiguity from ranks where rank <= 3")
+@query(with_sql(*_MOTIF_CTES) + "select * from matched")
 def rhythm_family_match(spark, sf_dir):
     return lexicon.family_matches(motif_rows(spark, sf_dir))
 
 
-_FIXTURES = "motifs as (select family || '#' || i as motif_id, family as expected, substr(pattern, i + 1) || substr(pattern, 1, i) as pattern, accents, 4::bigint as repeats from cells, unnest(range(0, 3)) as r(i))"
+@query(with_sql(*_MOTIF_CTES) + "select perf, coalesce(match, 'none') as family, count(*) as motifs, count(case when strength = 'strong' then 1 end) as strong, count(case when strength = 'moderate' then 1 end) as moderate, count(case when strength = 'weak' then 1 end) as weak, count(case when strength = 'ambiguous' then 1 end) as ambiguous, sum(repeats)::bigint as repeats from matched join motifs using (motif_id) where rank = 1 group by perf, coalesce(match, 'none')")
+def family_strengths(spark, sf_dir):
+    """How many motifs of a performance match each family, by strength."""
+    motifs = motif_rows(spark, sf_dir)
+    best = lexicon.family_matches(motifs, k=1).join(motifs.select("motif_id", "perf", "repeats"), "motif_id")
+    of = lambda name: F.count_if(F.col("strength") == name).alias(name)
+    return best.groupBy("perf", F.coalesce("match", F.lit("none")).alias("family")).agg(F.count("*").alias("motifs"), of("strong"), of("moderate"), of("weak"), of("ambiguous"), F.sum("repeats").alias("repeats"))
 
 
-@query("with " + ",\n".join([_LEXICON, _FIXTURES, _MATCH]) + " select m.expected, r.family as predicted, count(*) as n from motifs m join ranks r using (motif_id) where r.rank = 1 group by all")
+#: Patterns that belong to no family, as controls: onsets only, a single onset, one run.
+CONTROLS = [("onsets_only", "xxxxxxxx"), ("one_onset", "x......."), ("late_onset", ".......x"), ("one_run", "xxxx...."), ("no_onset", "........"), ("empty", "")]
+
+
+def fixture_rows() -> list[tuple]:
+    """(motif_id, expected, pattern, accents, ratios, repeats): every known pattern with its own accents and ratios, and the controls."""
+    known = [(f"{name}#{i}", family, t, accents, ratios[0], 4) for name, family, tokens, ratios, accents, _ in lexicon.PATTERNS for i, t in enumerate(tokens)]
+    return known + [(name, "none", p, "", [], 1) for name, p in CONTROLS]
+
+
+_FIXTURES = "motifs as (select * from (values " + ", ".join(f"('{m}', '{e}', '{p}', '{a}', {r}::double[], {n}::bigint)" for m, e, p, a, r, n in fixture_rows()) + ") as t(motif_id, expected, pattern, accents, ratios, repeats))"
+
+
+def judged_fixtures(spark) -> DataFrame:
+    """Each fixture with what was found: a family counts as predicted unless its match is weak or ambiguous."""
+    motifs = spark.createDataFrame(fixture_rows(), "motif_id string, expected string, pattern string, accents string, ratios array<double>, repeats bigint")
+    found = lexicon.family_matches(motifs)
+    sure = (F.col("rank") == 1) & F.col("strength").isin("strong", "moderate")
+    judged = found.groupBy("motif_id").agg(F.coalesce(F.max(F.when(sure, F.col("match"))), F.lit("none")).alias("predicted"), F.collect_set("family").alias("top3"))
+    return motifs.select("motif_id", "expected").join(judged, "motif_id")
+
+
+_JUDGED = "found as (select motif_id, coalesce(max(case when rank = 1 and strength in ('strong', 'moderate') then match end), 'none') as predicted, list(family) as top3 from matched group by motif_id), fixtures as (select m.motif_id, m.expected, predicted, top3 from motifs m join found using (motif_id))"
+
+
+@query("with " + ",\n".join([_LEXICON, _FIXTURES, _MATCH, _JUDGED]) + " select expected, predicted, count(*) as n from fixtures group by all")
 def lexicon_confusion(spark, sf_dir):
-    """Known patterns, turned by up to two steps, against the families found for them."""
-    base = spark.createDataFrame(lexicon.PATTERNS, "family string, pattern string, accents string, rotates boolean").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    turned = F.concat(F.substr(F.col("pattern"), F.col("i") + 1), F.substr(F.col("pattern"), F.lit(1), F.col("i")))
-    motifs = base.select(F.concat("family", F.lit("#"), F.col("i").cast("string")).alias("motif_id"), F.col("family").alias("expected"), turned.alias("pattern"), "accents", F.lit(4).alias("repeats"))
-    best = lexicon.family_matches(motifs, k=1)
-    return motifs.join(best, "motif_id").groupBy("expected", F.col("family").alias("predicted")).agg(F.count("*").alias("n"))
+    """Known patterns and controls against the families found for them."""
+    return judged_fixtures(spark).groupBy("expected", "predicted").agg(F.count("*").alias("n"))
+
+
+@query("with " + ",\n".join([_LEXICON, _FIXTURES, _MATCH, _JUDGED]) + """ select count(*) as fixtures, count(case when expected <> 'none' and predicted = expected then 1 end) as hits, count(case when expected <> 'none' and list_contains(top3, expected) then 1 end) as top3_hits,
+  count(case when predicted <> 'none' and predicted <> expected then 1 end) as false_positives, count(case when expected <> 'none' and predicted <> expected then 1 end) as false_negatives, count(case when expected = 'none' and predicted = 'none' then 1 end) as true_negatives from fixtures""")
+def lexicon_evaluation(spark, sf_dir):
+    """Hits, top-three hits, false positives and negatives over the fixtures."""
+    known, hit, told = F.col("expected") != "none", F.col("predicted") == F.col("expected"), F.col("predicted") != "none"
+    return judged_fixtures(spark).agg(
+        F.count("*").alias("fixtures"),
+        F.count_if(known & hit).alias("hits"),
+        F.count_if(known & F.array_contains("top3", F.col("expected"))).alias("top3_hits"),
+        F.count_if(told & ~hit).alias("false_positives"),
+        F.count_if(known & ~hit).alias("false_negatives"),
+        F.count_if(~known & ~told).alias("true_negatives"),
+    )
 
 
 @query("select role, section, (i * 7 + section * 3) % 5 as candidate, (section * 5 - 7) as transpose, round(180 * (0.618034::double ^ section), 6) as start from (values ('bass', 0), ('drums', 1), ('keys', 2), ('lead', 3)) as r(role, i), (select unnest(range(0, 5))::int as section)")

@@ -27,6 +27,10 @@ def query(sql: str | None = None):
     return add
 
 
+#: Seconds of the tiles of a bin whose empty share is its silence.
+SILENCE_TILE = 1.0
+
+
 def evidence(spark, sf_dir) -> DataFrame:
     """For each bin: what the content scores look at, from its rhythm and its chord."""
     gaps = rhythm.with_gaps(in_bins(spark, sf_dir))
@@ -34,7 +38,8 @@ def evidence(spark, sf_dir) -> DataFrame:
     chords = timeline(spark, sf_dir).select("perf", "idx", F.col("confidence").alias("chord"), F.size("active").alias("classes"))
     n = F.col("n")
     moves = gaps.withColumn("step", F.lead("note").over(Window.partitionBy("perf", "idx").orderBy("t", "seq")) - F.col("note")).groupBy("perf", "idx").agg(F.coalesce(F.avg((F.abs("step").between(1, 4)).cast("int")), F.lit(0.0)).alias("movement"))
-    base = stats.join(chords, ["perf", "idx"]).join(moves, ["perf", "idx"])
+    silent = rhythm.sub_bins(in_bins(spark, sf_dir), SILENCE_TILE).groupBy("perf", "idx").agg(F.avg((F.col("events") == 0).cast("int")).alias("silence"))
+    base = stats.join(chords, ["perf", "idx"]).join(moves, ["perf", "idx"]).join(silent, ["perf", "idx"])
     return base.select(
         "perf",
         "idx",
@@ -43,7 +48,7 @@ def evidence(spark, sf_dir) -> DataFrame:
         n.alias("notes"),
         (n / (F.col("hi") - F.col("lo"))).alias("density"),
         F.when(n > 1, F.col("close") / (n - 1)).otherwise(0.0).alias("poly"),
-        F.lit(0.0).alias("silence"),
+        "silence",
         "chord",
         "classes",
         (F.col("classes") / 4.0).alias("activity"),
@@ -53,14 +58,19 @@ def evidence(spark, sf_dir) -> DataFrame:
     )
 
 
-_EVIDENCE = """moves as (select perf, idx, coalesce(avg(case when abs(step) between 1 and 4 then 1.0::double when step is not null then 0 end), 0) as movement
+_EVIDENCE = """quiet as (
+  select t.perf, t.idx, avg(case when l.sub is null then 1.0::double else 0 end) as silence
+  from (select distinct perf, idx, unnest(range(0, ceil(hi - lo)::int)) as sub from located) t
+  left join (select distinct perf, idx, unnest([least(floor(t - lo)::int, ceil(hi - lo)::int - 1), greatest(ceil(t - lo)::int - 1, 0)]) as sub from located) l
+    on l.perf = t.perf and l.idx = t.idx and l.sub = t.sub group by 1, 2),
+moves as (select perf, idx, coalesce(avg(case when abs(step) between 1 and 4 then 1.0::double when step is not null then 0 end), 0) as movement
   from (select *, lead(note) over (partition by perf, idx order by t, seq) - note as step from gaps) group by perf, idx),
 evidence as (
-  select p.perf, p.idx, p.lo, p.hi, p.n as notes, p.n / (p.hi - p.lo) as density, case when p.n > 1 then near::double / (p.n - 1) else 0 end as poly, 0.0::double as silence,
+  select p.perf, p.idx, p.lo, p.hi, p.n as notes, p.n / (p.hi - p.lo) as density, case when p.n > 1 then near::double / (p.n - 1) else 0 end as poly, silence,
          c.confidence as chord, len(c.active) as classes, len(c.active) / 4.0::double as activity, movement, p.n >= 16 as motif,
          round(case when pulse <= 0 then least(0.35, case when p.n < 8 then least(0.45, least(0.9, 0.35 + least(0.6, p.n / 120.0::double))) else least(0.9, 0.35 + least(0.6, p.n / 120.0::double)) end)
                     when p.n < 8 then least(0.45, least(0.9, 0.35 + least(0.6, p.n / 120.0::double))) else least(0.9, 0.35 + least(0.6, p.n / 120.0::double)) end, 6) as confidence
-  from pulses p join chords c using (perf, idx) join moves using (perf, idx))"""
+  from pulses p join chords c using (perf, idx) join moves using (perf, idx) join quiet using (perf, idx))"""
 _SCORES = """s1 as (select *, greatest(0, least(1, notes / 32.0::double)) as nn, greatest(0, least(1, density / 3)) as dn, greatest(0, least(1, poly)) as pn, greatest(0, least(1, classes / 7.0::double)) as pc,
   greatest(0, least(1, 1 - abs(density - 1.4) / 1.4)) as moderate, greatest(0, least(1, chord)) as ch from evidence),
 s2 as (select *, greatest(0, least(1, 0.34::double * dn + 0.22::double * nn + 0.18::double * motif::int + 0.1::double * (1 - silence))) as rhythm,

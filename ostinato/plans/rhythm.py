@@ -223,7 +223,7 @@ grids as (
   select e.perf, e.kind, e.idx, e.steps, string_agg(case when m.step is null then '.' else 'x' end, '' order by e.step) as tokens, string_agg(case when m.accent then 'A' else '.' end, '' order by e.step) as accents
   from every e left join marks m on m.perf = e.perf and m.kind = e.kind and m.idx = e.idx and m.step = e.step group by e.perf, e.kind, e.idx, e.steps)"""
 _GRAMS = """grams as (
-  select perf, kind, idx, size, place, substr(tokens, place, size) as gram
+  select perf, kind, idx, size, place, substr(tokens, place, size) as gram, substr(accents, place, size) as marks
   from (select *, unnest(range(1, steps - size + 2)) as place from (select *, unnest(range(3, least(12, steps) + 1)) as size from grids))
   where length(substr(tokens, place, size)) - length(replace(substr(tokens, place, size), 'x', '')) >= 2)"""
 

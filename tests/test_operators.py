@@ -174,10 +174,29 @@ def test_policies(spark):
     assert got == ["block", "block", "allow_review_only", "allow_train", "allow_review_only"]
 
 
+MOTIF = "motif_id string, pattern string, accents string, ratios array<double>, repeats int"
+
+
 def test_lexicon_finds_its_own_patterns(spark):
-    motifs = spark.createDataFrame([(f, p, a, 4) for f, p, a, _ in lexicon.PATTERNS], "motif_id string, pattern string, accents string, repeats int")
-    best = lexicon.family_matches(motifs, k=1).collect()
-    assert all(r["motif_id"] == r["family"] and r["token"] == 1.0 for r in best)
+    rows = [(name, tokens[0], accents, ratios[0], 4) for name, _, tokens, ratios, accents, _ in lexicon.PATTERNS]
+    best = lexicon.family_matches(spark.createDataFrame(rows, MOTIF), k=1).collect()
+    assert len(best) == len(rows) and all(r["token"] == 1.0 and r["confidence"] > 0.85 for r in best)
+    alone = {r["motif_id"]: r["match"] for r in best}
+    assert alone["tresillo_3_3_2"] == "tresillo_3_3_2" and alone["habanera"] == "habanera" and alone["son_clave_2_3"] == "clave"
+
+
+def test_lexicon_by_hand(spark):
+    rows = [("tresillo", "x..x..x.", "X..x..x.", [1.5, 1.5, 1.0], 4), ("turned", "x..x.x..", "", None, 1), ("full", "xxxxxxxx", "", [], 8), ("empty", None, None, None, 1), ("half", "x.x.x.x.", "X.X.X.X.", [2.0], 8)]
+    got = {(r["motif_id"], r["rank"]): r for r in lexicon.family_matches(spark.createDataFrame(rows, MOTIF)).collect()}
+    first = got["tresillo", 1]
+    assert (first["family"], first["confidence"], first["reasons"], first["strength"]) == ("tresillo_3_3_2", 1.0, 0, "moderate") and first["ambiguity"] == 0.5  # the waltz has 0.94
+    assert first["specificity"] == round(0.6 + 0.25 + 0.15 * (0.25 * 8 / 12 + 0.35 * 5 / 7 + 0.2 * 5 / 8 + 0.2 * 0.5), 6)
+    turned = got["turned", 1]  # a rotation of the tresillo, but without its skeleton, and seen once
+    assert (turned["family"], turned["token"], turned["reasons"], turned["confidence"]) == ("tresillo_3_3_2", 1.0, 1, round(0.6 * 0.85 * 0.93, 6))
+    assert got["full", 1]["strength"] in ("weak", "ambiguous") and got["full", 1]["confidence"] < 0.3
+    assert got["empty", 1]["confidence"] == 0.0 and got["empty", 1]["ambiguity"] == 1.0 and got["empty", 1]["match"] == "tresillo_3_3_2"
+    march = [r for (m, _), r in got.items() if m == "half" and r["family"] == "march_duple"][0]
+    assert (march["token"], march["accent"], march["ratio"]) == (1.0, 0.5, 0.0)
 
 
 def midi_bytes():
