@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ostinato.functions.scalars import clamp01, mean6
@@ -99,12 +99,12 @@ def content_routes(spark, sf_dir):
     return s.select("perf", "idx", "notes", *[F.round(c, 6).alias(c) for c in ("rhythm", "harmony", "melody", "low_info", "mix")], "content_state", "state_confidence", "margin")
 
 
-_POLICY = "policy as (select * from (values " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in records.ROUTES) + ") as t(content_state, allowed, suppressed))"
+_POLICY = "policy as (select * from (values " + ", ".join(map(str, records.ROUTES)) + ") as t(content_state, allowed, suppressed, rules))"
 
 
-@query(with_sql(*_STATES, _POLICY) + "select perf, idx, s.content_state, allowed, suppressed from states s left join policy p on p.content_state = s.content_state")
+@query(with_sql(*_STATES, _POLICY) + "select perf, idx, s.content_state, allowed, suppressed, rules from states s left join policy p on p.content_state = s.content_state")
 def routing_decisions(spark, sf_dir):
-    return records.routed(states(spark, sf_dir)).select("perf", "idx", "content_state", "allowed", "suppressed")
+    return records.routed(states(spark, sf_dir)).select("perf", "idx", "content_state", "allowed", "suppressed", "rules")
 
 
 @query(with_sql(*_STATES) + "select perf, content_state, count(*) as n, round(sum(round(notes * 1e9::double)::bigint)::double / count(notes) / 1e9::double, 6) as mean_notes, round(sum(round(state_confidence * 1e9::double)::bigint)::double / count(state_confidence) / 1e9::double, 6) as mean_confidence, grouping(perf)::int * 2 + grouping(content_state)::int as level from states group by rollup (perf, content_state)")
@@ -204,6 +204,74 @@ def export_manifest_counts(spark, sf_dir):
     return records.export_splits(ai_record_rows(spark, sf_dir)).groupBy("perf", "export_split").agg(F.count("*").alias("n"), F.round(F.sum("training_weight"), 6).alias("weight"))
 
 
+_FANNED = """fanned as (
+  select perf, idx, 'quarantine' as part, 'quarantined_records' as export_split, training_weight from splits where export_split = 'quarantined_records'
+  union all select perf, idx, 'observation', 'accepted_records', training_weight from splits where export_split <> 'quarantined_records' and tier in ('high', 'medium') and training_weight >= 0.6::double
+  union all select perf, idx, 'observation', 'audio_midi_only_records', training_weight from splits where export_split = 'audio_midi_only_records' and not (tier in ('high', 'medium') and training_weight >= 0.6::double)
+  union all select perf, idx, 'weak_label', 'weak_label_records', least(training_weight, 0.7::double) from splits where export_split <> 'quarantined_records' and label_status = 'weak_label'
+  union all select perf, idx, 'review', 'review_required_records', least(training_weight, 0.4::double) from splits where export_split = 'review_required_records')"""
+
+
+def fanned(spark, sf_dir):
+    split = records.export_splits(ai_record_rows(spark, sf_dir)).withColumn("record_id", F.concat_ws("-", "perf", "idx"))
+    return records.fanned_out(split, "record_id")
+
+
+@query(with_sql(*_RECORD_CTES, _SPLITS, _FANNED) + "select perf || '-' || idx || ':' || part || ':0' as export_record_id, export_split, training_weight from fanned")
+def export_fan_out(spark, sf_dir):
+    """The records that each record gives in the splits: none, one or several."""
+    return fanned(spark, sf_dir).select("export_record_id", "export_split", "training_weight")
+
+
+@query(with_sql(*_RECORD_CTES, _SPLITS, _FANNED) + "select perf, export_split, count(*) as n, count(distinct idx) as records, round(sum(round(training_weight * 1e9::double)::bigint)::double / 1e9::double, 6) as weight from fanned group by perf, export_split")
+def export_fan_out_counts(spark, sf_dir):
+    return fanned(spark, sf_dir).groupBy("perf", "export_split").agg(F.count("*").alias("n"), F.count_distinct("idx").alias("records"), F.round(F.sum(F.round(F.col("training_weight") * 1e9).cast("long")) / 1e9, 6).alias("weight"))
+
+
+def gate_facts(spark, sf_dir) -> DataFrame:
+    """Stand-ins, inputs only: a performance per customer, its windows are orders, its records and tags their line items."""
+    c = music.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run"), (F.col("c_custkey") % 13 != 0).alias("source_exists"), F.expr("case when c_custkey % 5 > 0 then c_acctbal end").alias("duration"), F.expr("case when c_custkey % 7 = 0 then ' ' else md5(c_name) end").alias("checksum"), (F.col("c_custkey") % 3 > 0).alias("analysis_exists"), (F.col("c_custkey") % 4 > 0).alias("merged_exists"), (F.col("c_nationkey") > 0).alias("pack_valid"))
+    o = music.table(spark, sf_dir, "orders")
+    windows = o.groupBy(F.col("o_custkey").alias("run")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("successful"), F.count_if(F.col("o_orderstatus") == "P").alias("remaining"))
+    items = music.table(spark, sf_dir, "lineitem").join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    counted = items.groupBy(F.col("o_custkey").alias("run")).agg(F.count("*").alias("records"), F.count_if(F.col("l_quantity") <= 49).alias("with_confidence"), F.count_if(F.col("l_discount") < 0.1).alias("with_provenance"), F.count_if(F.col("l_returnflag") == "R").alias("tags"), F.count_if((F.col("l_returnflag") == "R") & (F.col("l_tax") < 0.08)).alias("tags_with_evidence"))
+    there = lambda column, name: F.col(column).isNotNull().alias(name)
+    facts = c.join(windows, "run", "left").join(counted, "run", "left")
+    return facts.select("*", there("successful", "manifest_exists"), there("records", "pack_exists"), there("records", "jsonl_exists"))
+
+
+_GATES = """w as (select o_custkey as run, count(case when o_orderstatus = 'F' then 1 end) as successful, count(case when o_orderstatus = 'P' then 1 end) as remaining from orders group by 1),
+i as (select o_custkey as run, count(*) as records, count(case when l_quantity <= 49 then 1 end) as conf, count(case when l_discount < 0.1 then 1 end) as prov, count(case when l_returnflag = 'R' then 1 end) as tags, count(case when l_returnflag = 'R' and l_tax < 0.08 then 1 end) as told from lineitem join orders on l_orderkey = o_orderkey group by 1),
+f as (select c_custkey as run, c.*, w.run is not null as manifest, i.run is not null as pack, coalesce(successful, 0) as ok, coalesce(remaining, 0) as remaining, coalesce(records, 0) as records, coalesce(conf, 0) as conf, coalesce(prov, 0) as prov, coalesce(tags, 0) as tags, coalesce(told, 0) as told
+  from customer c left join w on w.run = c_custkey left join i on i.run = c_custkey),
+gates as (
+  select run, 'source_file_exists' as gate, case when run % 13 <> 0 then 'pass' else 'fail' end as status, 'critical' as severity from f
+  union all select run, 'source_duration_known', case when run % 5 > 0 then 'pass' else 'warn' end, 'warning' from f
+  union all select run, 'source_checksum_exists', case when run % 7 <> 0 then 'pass' else 'warn' end, 'warning' from f
+  union all select run, 'source_decodes_checkable', case when run % 13 <> 0 then 'pass' else 'not_applicable' end, 'warning' from f
+  union all select run, 'active_analysis_path_exists', case when run % 3 > 0 then 'pass' else 'warn' end, 'warning' from f
+  union all select run, 'active_segments_manifest_exists', case when manifest then 'pass' else 'fail' end, 'critical' from f
+  union all select run, 'successful_transcription_window_exists', case when ok > 0 then 'pass' else 'fail' end, 'critical' from f
+  union all select run, 'merged_midi_exists_if_complete', case when remaining > 0 or run % 4 > 0 then 'pass' else 'warn' end, 'warning' from f
+  union all select run, 'feature_pack_exists', case when pack then 'pass' else 'fail' end, 'critical' from f
+  union all select run, 'feature_pack_validates', case when pack and c_nationkey > 0 then 'pass' else 'fail' end, 'critical' from f
+  union all select run, 'ai_jsonl_exists', case when pack then 'pass' else 'fail' end, 'critical' from f
+  union all select run, 'tags_have_evidence', case when tags = 0 then 'fail' when told = tags then 'pass' else 'warn' end, 'warning' from f
+  union all select run, 'ai_confidence_fields_exist', case when conf = records then 'pass' else 'warn' end, 'warning' from f
+  union all select run, 'ai_provenance_fields_exist', case when prov = records then 'pass' else 'warn' end, 'warning' from f)"""
+
+
+@query(with_sql(_GATES) + "select run, gate, status, case when status = 'pass' then 'info' else severity end as severity from gates")
+def training_quality_gates(spark, sf_dir):
+    return records.quality_gates(gate_facts(spark, sf_dir), "run")
+
+
+@query(with_sql(_GATES) + """, v as (select run, count(case when status = 'pass' then 1 end) as passed, count(case when status = 'warn' then 1 end) as warned, count(case when status = 'fail' then 1 end) as failed, bool_or(status = 'fail' and severity = 'critical') as critical from gates group by run)
+select *, case when critical then 'quarantined' when failed > 0 then 'review_required' when warned > 0 then 'weak_accept' else 'accepted' end as quality_status, case when critical then 'quarantine' when failed > 0 then 'review' when warned > 0 then 'weak_labels' else 'train' end as split from v""")
+def training_gate_verdicts(spark, sf_dir):
+    return records.gate_verdicts(records.quality_gates(gate_facts(spark, sf_dir), "run"), "run")
+
+
 @query(with_sql(*_RECORD_CTES, _SPLITS) + """select perf, count(*) as records, count(case when export_split = 'accepted_records' then 1 end) as accepted, round(count(*) / 12.0::double, 6) as records_per_minute,
   round(100 * count(case when export_split = 'review_required_records' then 1 end) / count(*)::double, 6) as review_pct,
   concat_ws(',', case when count(case when content_state = 'silence_or_noise' then 1 end) / count(*)::double >= 0.45 then 'too_many_silence_or_noise_regions' end, case when 100 * count(case when export_split = 'review_required_records' then 1 end) / count(*)::double >= 60 then 'high_review_required_percentage' end,
@@ -263,15 +331,30 @@ def quality_gates(spark, sf_dir):
     return gates.groupBy("perf").agg(F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"), verdict.alias("status"))
 
 
+def pair_task() -> Column:
+    """What kind of example a pair of neighbours is."""
+    a, b = F.col("context_notes"), F.col("target_notes")
+    c, d = F.col("context_density"), F.col("target_density")
+    return F.when((a >= 4) & (b >= 4) & (F.greatest(a, b) / F.least(a, b) <= 3.5), "call_response").when((d > c * 1.2) | (c > d * 1.2), "buildup_to_release").otherwise("continuation")
+
+
+def phrase_refs(spark, sf_dir) -> DataFrame:
+    """perf, idx, hits, distance: the windows and segments that a bin overlaps, and how far its start is from a segment's end."""
+    parts = [regions.select("perf", "kind", F.col("lo").alias("r_lo"), F.col("hi").alias("r_hi")) for regions in (music.windows(spark, sf_dir), music.segments(spark, sf_dir))]
+    met = intervals.overlapping(music.bins(spark, sf_dir).select("perf", "idx", "lo", "hi"), parts[0].unionByName(parts[1]), music.SEGMENT, closed=False)
+    near = F.min(F.when(F.col("kind") == "segment", F.least(F.abs(F.col("lo") - F.col("r_lo")), F.abs(F.col("lo") - F.col("r_hi")))))
+    return met.groupBy("perf", "idx").agg(F.count("*").alias("hits"), near.alias("distance"))
+
+
 def pair_rows(spark, sf_dir) -> DataFrame:
     """Neighbouring bins as context and target, with what the pairs' quality looks at."""
-    rows = states(spark, sf_dir).select("perf", "idx", "lo", "hi", "notes", "density", "content_state", "confidence", "poly", "classes")
+    rows = states(spark, sf_dir).select("perf", "idx", "lo", "hi", "notes", "density", "content_state", "confidence", "poly", "classes", "chord").join(phrase_refs(spark, sf_dir), ["perf", "idx"], "left")
     block = F.floor(F.col("idx") / 64).cast("int")
-    target = F.struct("idx", "lo", "hi", "notes", "density", "content_state")
+    target = F.struct("idx", "lo", "hi", "notes", "density", "content_state", "chord", "classes", "hits", "distance")
     paired = ordered.with_next(rows.withColumn("target", target), ["perf"], block, ["idx"], "target", "next").where("next is not null")
     change = clamp01(F.abs(F.col("next.density") - F.col("density")) / 2.0)
     moved = F.when(F.col("next.content_state") != F.col("content_state"), 1.0).otherwise(0.55)
-    return paired.select(
+    pairs = paired.select(
         "perf",
         F.col("idx").alias("context_idx"),
         F.col("next.idx").alias("target_idx"),
@@ -284,22 +367,56 @@ def pair_rows(spark, sf_dir) -> DataFrame:
         F.col("content_state").alias("context_state"),
         F.col("next.content_state").alias("target_state"),
         F.col("confidence").alias("reliability"),
-        F.when(F.col("next.content_state") == "silence_or_noise", 0.05).otherwise(0.92).alias("suitability"),
         (F.lit(0.45) * change + F.lit(0.55) * moved).alias("boundary"),
-        (F.lit(0.14) * change + F.lit(0.1) * moved + F.lit(0.24)).alias("evidence"),
+        F.col("next.distance").alias("distance"),
+        F.col("next.hits").alias("phrase_refs"),
+        ((F.col("next.chord") > 0).cast("int") + (F.col("next.classes") >= 2).cast("int")).alias("arrival_refs"),
         clamp01(F.col("poly") + F.col("classes") / 24.0).alias("motif"),
+        F.lit(music.DURATION >= 600).alias("long_form"),
         (F.col("next.notes") < 3).alias("blocked"),
     )
-
-
-_PAIR = """paired as (select *, lead(idx) over w as target_idx, lead(notes) over w as target_notes, lead(lo) over w as target_lo, lead(hi) over w as target_hi, lead(density) over w as target_density, lead(content_state) over w as target_state from states window w as (partition by perf order by idx)),
-p1 as (select *, greatest(0, least(1, abs(target_density - density) / 2)) as change, case when target_state <> content_state then 1.0 else 0.55 end::double as moved from paired where target_idx is not null),
-p2 as (select *, case when target_state = 'silence_or_noise' then 0.05 else 0.92 end::double as suitability, 0.45::double * change + 0.55::double * moved as boundary, 0.14::double * change + 0.1::double * moved + 0.24::double as evidence_, greatest(0, least(1, poly + classes / 24.0::double)) as motif_, target_notes < 3 as blocked,
-  target_notes / greatest(target_hi - target_lo, 1e-6) as td from p1),
-scored_pairs as (select *, round(greatest(0, least(1, 0.24::double * greatest(0, least(1, confidence)) + 0.14::double * suitability + 0.06::double * greatest(0, least(1, boundary)) + 0.08::double * greatest(0, least(1, evidence_)) + 0.14::double * (case when td < 0.08 then 0.1 when td < 0.25 then 0.35 when td < 1 then 0.65 when td < 4 then 0.85 else 0.75 end)
-  + 0.14::double * greatest(0, least(1, target_notes / 8.0::double * 0.8::double + 0.2::double)) + 0.1::double * motif_ + 0.14::double * 0.58::double)), 6) as final_score from p2),
-split_pairs as (select *, case when blocked then 'exclude' when final_score >= 0.72 then 'train' when final_score >= 0.6 then 'validation' when final_score >= 0.35 then 'review' else 'exclude' end as split from scored_pairs)"""
-_PAIR_CTES = [*_STATES, _PAIR]
+    return records.boundary_evidence(pairs.withColumn("task", pair_task()))
+
+
+_SOUNDING = "(" + ", ".join(f"'{s}'" for s in records.SOUNDING) + ")"
+_ALLOWED = " or ".join(f"(task = '{t}' and target_state in (" + ", ".join(f"'{s}'" for s in states) + "))" for t, (states, _, _) in records.TASKS.items())
+_PAIR = f"""refs as (select b.perf, b.idx, count(*) as hits, min(case when r.kind = 'segment' then least(abs(b.lo - r.lo), abs(b.lo - r.hi)) end) as distance
+  from bins b join (select perf, kind, lo, hi from windows union all select perf, kind, lo, hi from segments) r on r.perf = b.perf and least(b.hi, r.hi) > greatest(b.lo, r.lo) group by b.perf, b.idx),
+paired as (select *, lead(idx) over w as target_idx, lead(notes) over w as target_notes, lead(lo) over w as target_lo, lead(hi) over w as target_hi, lead(density) over w as target_density, lead(content_state) over w as target_state, lead(chord) over w as target_chord, lead(classes) over w as target_classes
+  from states window w as (partition by perf order by idx)),
+p1 as (select *, greatest(0, least(1, abs(target_density - density) / 2)) as change, case when target_state <> content_state then 1.0 else 0.55 end::double as moved,
+  case when notes >= 4 and target_notes >= 4 and greatest(notes, target_notes) / least(notes, target_notes)::double <= 3.5::double then 'call_response' when target_density > density * 1.2::double or density > target_density * 1.2::double then 'buildup_to_release' else 'continuation' end as task
+  from paired where target_idx is not null),
+p2 as (select p1.*, r.distance, r.hits, (target_chord > 0)::int + (target_classes >= 2)::int as arrivals, {_ALLOWED} as fits, 0.45::double * change + 0.55::double * moved as boundary, greatest(0, least(1, poly + classes / 24.0::double)) as motif_, target_notes < 3 as blocked,
+  target_notes / greatest(target_hi - target_lo, 1e-6) as td from p1 join refs r on r.perf = p1.perf and r.idx = p1.target_idx),
+p3 as (select *, case when td < 0.08 then 0.1 when td < 0.25 then 0.35 when td < 1 then 0.65 when td < 4 then 0.85 else 0.75 end::double as dense,
+  greatest(0, least(1, (greatest(0, least(1, density / 4)) + greatest(0, least(1, target_density / 4))) * 0.5::double)) as balance, greatest(0, least(1, 1 - least(distance, 8) / 8.0::double)) as proximity,
+  case when content_state <> target_state and target_state <> 'silence_or_noise' then 1.0 when target_state in {_SOUNDING} then 0.55 else 0 end::double as turn,
+  greatest(0, least(1, hits / 3.0::double)) as phrase, greatest(0, least(1, arrivals / 4.0::double)) as arrival, greatest(0, least(1, (target_hi - target_lo) / case task when 'buildup_to_release' then 6.0 else 4.0 end::double)) as lasting from p2),
+p4 as (select *, round(greatest(0, least(1, 0.14::double * change + 0.12::double * balance + 0.12::double * proximity + 0.1::double * turn + 0.12::double * phrase + 0.12::double * arrival + 0.12::double * motif_ + 0.08::double * lasting + 0.08::double * dense)), 6) as evidence_,
+  case when fits then 1.0 when target_state in {_SOUNDING} then 0.25 else 0.05 end::double as suitability,
+  least(1, least(1, least(1, target_notes / 2.0::double * 0.8::double + 0.2::double) + case when hits > 0 then 0.04 else 0 end::double) + case when arrivals > 0 then 0.04 else 0 end::double) as complete from p3),
+scored_pairs as (select *, round(greatest(0, least(1, 0.24::double * greatest(0, least(1, confidence)) + 0.14::double * suitability + 0.06::double * greatest(0, least(1, boundary)) + 0.08::double * greatest(0, least(1, evidence_)) + 0.14::double * dense
+  + 0.14::double * complete + 0.1::double * motif_ + 0.14::double * 0.58::double + 0.06::double)), 6) as final_score from p4),
+split_pairs as (select *, round(greatest(0, least(1, 0.45::double * final_score + 0.35::double * motif_ + 0.2::double * dense + case when target_state in ('polyphonic_full_mix', 'harmonic_dominant') then 0.03 else 0 end::double)), 6) as novelty,
+  case when blocked then 'exclude' when final_score >= 0.72 and may then 'train' when final_score >= 0.6 and may then 'validation' when final_score >= 0.35 then 'review' else 'exclude' end as split from (select *, fits or (task = 'call_response' and target_state in {_SOUNDING}) as may from scored_pairs))"""
+_PAIR_CTES = [*_STATES, WINDOWS_SQL, SEGMENTS_SQL, _PAIR]
+
+
+@query(with_sql(*_PAIR_CTES) + "select perf, idx as context_idx, target_idx, task, round(change, 6) as density_change, round(balance, 6) as onset_balance, round(proximity, 6) as segment_proximity, turn as state_change, round(phrase, 6) as phrase_part, arrival as arrival_part, round(motif_, 6) as repetition_part, round(lasting, 6) as duration_part, dense as density_part, evidence_ as evidence from p4")
+def pair_boundary_evidence(spark, sf_dir):
+    """The nine parts of the evidence that a pair meets at a phrase boundary."""
+    parts = ("density_change", "onset_balance", "segment_proximity", "state_change", "phrase_part", "arrival_part", "repetition_part", "duration_part", "density_part", "evidence")
+    return pair_rows(spark, sf_dir).select("perf", "context_idx", "target_idx", "task", *parts)
+
+
+@query(with_sql(*_PAIR_CTES) + """select perf, idx as context_idx, novelty, suitability, round(complete, 6) as completeness, may as allowed,
+  content_state = target_state or (content_state in ('harmonic_dominant', 'polyphonic_full_mix') and target_state in ('harmonic_dominant', 'polyphonic_full_mix', 'melodic_lead')) or (content_state in ('rhythm_dominant', 'percussive_only') and target_state in ('rhythm_dominant', 'percussive_only', 'polyphonic_full_mix'))
+  or (content_state in ('melodic_lead', 'vocal_dominant', 'rap_vocal_dominant') and target_state in ('melodic_lead', 'vocal_dominant', 'rap_vocal_dominant', 'polyphonic_full_mix')) as compatible from split_pairs""")
+def pair_policies(spark, sf_dir):
+    """Novelty, suitability and completeness of each pair, and whether its task and its states allow it."""
+    scored = records.pair_quality(pair_rows(spark, sf_dir))
+    return scored.select("perf", "context_idx", "novelty", "suitability", "completeness", records.task_allowed(F.col("target_state")).alias("allowed"), records.states_compatible(F.col("context_state"), F.col("target_state")).alias("compatible"))
 
 
 @query(with_sql(*_PAIR_CTES) + "select perf, idx as context_idx, target_idx, context_state, target_state, final_score, split from (select *, content_state as context_state from split_pairs)")
@@ -349,8 +466,10 @@ def nearest_rank_distribution(spark, sf_dir):
 @query(with_sql(*_PAIR_CTES) + "select perf, idx as context_idx, final_score, round(0.6 - final_score, 6) as missing from split_pairs where split = 'review' and final_score >= 0.56 order by final_score desc, perf, idx limit 25")
 def salvage_topk(spark, sf_dir):
     """The 25 pairs that miss validation by least."""
-    near = records.pair_quality(pair_rows(spark, sf_dir)).where("split = 'review' and final_score >= 0.56")
-    return near.orderBy(F.desc("final_score"), "perf", "context_idx").limit(25).select("perf", "context_idx", "final_score", F.round(F.lit(0.6) - F.col("final_score"), 6).alias("missing"))
+    scored = records.pair_quality(pair_rows(spark, sf_dir)).select("perf", "context_idx", F.when((F.col("split") == "review") & (F.col("final_score") >= 0.56), F.col("final_score")).alias("final_score"))
+    # Others sort last and go after the limit; a filter before it would be pushed down and repeat the whole score.
+    top = scored.orderBy(F.desc_nulls_last("final_score"), "perf", "context_idx").limit(25).where("final_score is not null")
+    return top.select("perf", "context_idx", "final_score", F.round(F.lit(0.6) - F.col("final_score"), 6).alias("missing"))
 
 
 @query(with_sql(*BINNED[:-1]) + "select perf, idx, string_agg(note % 12, ' ' order by t, seq) as pitch_tokens, string_agg(case when vel >= 96 then 'A' when vel >= 48 then 'm' else 's' end, '' order by t, seq) as accent_tokens from located group by perf, idx")

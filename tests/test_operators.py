@@ -156,6 +156,66 @@ def test_content_states(spark, e, expected):
     assert records.content_states(records.content_scores(df)).first()["content_state"] == expected
 
 
+GIVEN = "notes int, density double, poly double, silence double, chord double, classes int, activity double, motif boolean, movement double, confidence double, speech double, rap double, vocal double, transition double"
+
+
+@pytest.mark.parametrize("given,expected", [((0.9, 0.9, 0.9, 0.9), "rap_vocal_dominant"), ((0.0, 0.0, 0.7, 0.0), "vocal_dominant"), ((0.0, 0.5, 0.5, 1.0), "percussive_only"), ((None, None, None, None), "percussive_only")])
+def test_voices_go_before_the_mix(spark, given, expected):
+    df = spark.createDataFrame([(64, 4.8, 0.05, 0.06, 0.4, 3, 0.5, True, 0.0, 0.0, *given)], GIVEN)
+    assert records.content_states(records.content_scores(df)).first()["content_state"] == expected
+
+
+def test_speech_and_transition(spark):
+    thin = (3, 0.5, 0.0, 0.2, 0.0, 1, 0.0, False, 0.0, 1.0)
+    df = spark.createDataFrame([(*thin, 0.72, 0.0, 0.0, 0.0), (*thin, 0.71, 0.0, 0.0, 0.64), (*thin, 0.0, 0.0, 0.0, 0.63)], GIVEN)
+    assert [r["content_state"] for r in records.content_states(records.content_scores(df)).collect()] == ["speech_like", "transition_build", "unknown"]
+
+
+def test_routes(spark):
+    got = {r["content_state"]: r for r in records.routed(spark.createDataFrame([("speech_like",), ("no such state",), (None,)], "content_state string")).collect()}
+    assert got["speech_like"]["suppressed"] == "chord_movement,harmony,melody"
+    assert got["no such state"]["allowed"] == got[None]["allowed"] == "semantic,training_export"
+
+
+def test_fan_out(spark):
+    rows = [("q", "quarantined_records", "high", "weak_label", 1.0), ("o", "accepted_records", "high", "raw_observation", 0.7), ("w", "weak_label_records", "medium", "weak_label", 0.65), ("r", "review_required_records", "low", "heuristic_estimate", 0.5), ("n", "accepted_records", "low", "raw_observation", 0.9), ("m", "audio_midi_only_records", "low", "raw_observation", 0.6), ("z", "weak_label_records", "high", None, None)]
+    got = records.fanned_out(spark.createDataFrame(rows, "id string, export_split string, tier string, label_status string, training_weight double"), "id")
+    assert sorted((r["export_record_id"], r["export_split"], r["training_weight"]) for r in got.collect()) == [
+        ("m:observation:0", "audio_midi_only_records", 0.6), ("o:observation:0", "accepted_records", 0.7), ("q:quarantine:0", "quarantined_records", 1.0),
+        ("r:review:0", "review_required_records", 0.4), ("r:weak_label:0", "weak_label_records", 0.5), ("w:observation:0", "accepted_records", 0.65), ("w:weak_label:0", "weak_label_records", 0.65),
+    ]
+
+
+def test_gates(spark):
+    schema = "run long, source_exists boolean, duration double, checksum string, analysis_exists boolean, manifest_exists boolean, successful int, remaining int, merged_exists boolean, pack_exists boolean, pack_valid boolean, jsonl_exists boolean, tags int, tags_with_evidence int, records int, with_confidence int, with_provenance int"
+    whole = (True, 1.0, "c", True, True, 3, 0, True, True, True, True, 2, 2, 5, 5, 5)
+    change = lambda run, **new: (run, *[new.get(c.split()[0], v) for c, v in zip(schema.split(", ")[1:], whole)])
+    rows = [change(1), change(2, checksum=" "), change(3, tags=0, tags_with_evidence=0), change(4, successful=0), change(5, merged_exists=False, remaining=2), (6, *[None] * 16)]
+    gates = records.quality_gates(spark.createDataFrame(rows, schema), "run")
+    assert gates.count() == 14 * len(rows)
+    verdicts = {r["run"]: (r["passed"], r["warned"], r["failed"], r["quality_status"], r["split"]) for r in records.gate_verdicts(gates, "run").collect()}
+    assert verdicts[1] == verdicts[5] == (14, 0, 0, "accepted", "train")
+    assert verdicts[2] == (13, 1, 0, "weak_accept", "weak_labels")
+    assert verdicts[3] == (13, 0, 1, "review_required", "review")
+    assert verdicts[4] == (13, 0, 1, "quarantined", "quarantine")
+    assert verdicts[6][3:] == ("quarantined", "quarantine")
+
+
+def test_pair_quality(spark):
+    schema = "id string, task string, context_density double, target_density double, context_state string, target_state string, distance double, phrase_refs int, arrival_refs int, motif double, target_lo double, target_hi double, target_notes int, reliability double, boundary double, blocked boolean"
+    rows = [
+        ("a", "continuation", 2.0, 4.0, "rhythm_dominant", "polyphonic_full_mix", 0.0, 3, 4, 1.0, 0.0, 4.0, 8, 1.0, 1.0, False),
+        ("b", "buildup_to_release", 2.0, 4.0, "rhythm_dominant", "melodic_lead", 0.0, 3, 4, 1.0, 0.0, 4.0, 8, 1.0, 1.0, False),
+        ("c", "continuation", 2.0, 4.0, "rhythm_dominant", "silence_or_noise", None, None, None, 0.0, 0.0, 4.0, 0, 0.0, 0.0, True),
+    ]
+    got = {r["id"]: r for r in records.pair_quality(records.boundary_evidence(spark.createDataFrame(rows, schema))).collect()}
+    evidence = 0.14 + 0.12 * 0.75 + 0.12 + 0.1 + 0.12 + 0.12 + 0.12 + 0.08 + 0.08 * 0.85
+    assert got["a"]["evidence"] == pytest.approx(evidence, abs=1e-6)
+    assert got["a"]["final_score"] == pytest.approx(0.24 + 0.14 + 0.06 + 0.08 * evidence + 0.14 * 0.85 + 0.14 + 0.1 + 0.14 * 0.58, abs=2e-6) and got["a"]["split"] == "train"
+    assert got["b"]["suitability"] == 0.25 and got["b"]["final_score"] >= 0.72 and got["b"]["split"] == "review"  # its task doesn't allow the state
+    assert got["c"]["state_change"] == 0.0 and got["c"]["segment_proximity"] == 0.0 and got["c"]["split"] == "exclude"
+
+
 def test_export_trust(spark):
     rows = [("a", True, "raw_observation", 0.8, "high", 1.0), ("b", False, "raw_observation", 0.8, "high", 1.0), ("c", True, "weak_label", 0.3, "high", 1.0), ("d", True, "weak_label", 0.6, "medium", 0.9), ("e", True, "human_verified_label", 0.1, "low", 0.2), ("f", True, "raw_observation", 0.2, "high", 1.0)]
     got = {r["id"]: (r["export_split"], r["training_weight"]) for r in records.export_splits(spark.createDataFrame(rows, "id string, whole boolean, label_status string, confidence double, tier string, weight double")).collect()}
