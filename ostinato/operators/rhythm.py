@@ -1,7 +1,9 @@
 """Rhythm of regions: inter-onset intervals, pulse, accents, subdivision, meter, cycles, token grids and motifs.
 
 Rows ``in_regions`` are events beside their region: perf, kind, idx, lo, hi, seq, t, note, vel. A region is bounded by its kind's
-width, except for whole performances, which go through the block-wise operators of ``ordered``.
+width: its rows meet in one window over REGION, and all that follows keeps that partitioning, so a query shuffles for the interval
+join and once more. Whole performances aren't bounded: ``block`` and ``bounded=False`` take their gaps block by block and their
+figures from partial sums, joined back.
 """
 
 from __future__ import annotations
@@ -10,15 +12,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ostinato.functions.scalars import clamp01, counts_of, joined, pitch_class, round6
+from ostinato.operators import ordered
 
 REGION = ["perf", "kind", "idx"]
 #: Beats in a bar of the candidate meters, in their order.
 METERS = [("4/4", 4, 4), ("3/4", 3, 4), ("6/8", 6, 8), ("12/8", 12, 8), ("5/4", 5, 4), ("7/8", 7, 8)]
 
 
-def with_gaps(in_regions: DataFrame) -> DataFrame:
-    """Adds ``gap``, the time to the region's next event."""
-    return in_regions.withColumn("gap", F.lead("t").over(Window.partitionBy(*REGION).orderBy("t", "seq")) - F.col("t"))
+def with_gaps(in_regions: DataFrame, block: float | None = None) -> DataFrame:
+    """Adds ``gap``, the time to the region's next event; ``block``: over tiles of that many seconds, for regions without bound."""
+    if block is None:
+        return in_regions.withColumn("gap", F.lead("t").over(Window.partitionBy(*REGION).orderBy("t", "seq")) - F.col("t"))
+    following = ordered.with_next(in_regions, REGION, F.floor(F.col("t") / block).cast("long"), ["t", "seq"], "t", "_following")
+    return following.withColumn("gap", F.col("_following") - F.col("t")).drop("_following")
 
 
 def _ioi() -> Column:
@@ -39,6 +45,20 @@ def pulses(gaps: DataFrame) -> DataFrame:
     )
 
 
+def with_stats(gaps: DataFrame, bounded: bool = True) -> DataFrame:
+    """``gaps`` with each region's n, n_ioi, vel_mean, vel_std and pulse: by a window, or by partial sums for regions without bound."""
+    if not bounded:
+        return gaps.join(pulses(gaps).select(*REGION, "n", "n_ioi", "vel_mean", "vel_std", "pulse"), REGION)
+    region = Window.partitionBy(*REGION)
+    return gaps.withColumns({
+        "n": F.count("*").over(region),
+        "n_ioi": F.count(_ioi()).over(region),
+        "vel_mean": F.avg("vel").over(region),
+        "vel_std": F.stddev_pop("vel").over(region),
+        "pulse": F.coalesce(F.percentile(_ioi(), 0.5).over(region), F.lit(0.0)),
+    })
+
+
 def ioi_histogram(gaps: DataFrame) -> DataFrame:
     """REGION, ioi (to two places), n, first (when it is first seen)."""
     own = gaps.where("gap > 0").withColumn("ioi", F.round("gap", 2))
@@ -55,39 +75,45 @@ def sub_bins(in_regions: DataFrame, width: float = 4.0) -> DataFrame:
     """REGION, sub, events: how many events each tile of ``width`` in a region has; tiles are closed and empty ones are there."""
     regions = in_regions.select(*REGION, "lo", "hi").distinct()
     tiles = regions.withColumn("sub", F.explode(F.sequence(F.lit(0), F.ceil((F.col("hi") - F.col("lo")) / width).cast("int") - 1)))
-    at = (F.col("t") - F.col("lo")) / width
-    last = F.ceil((F.col("hi") - F.col("lo")) / width).cast("int") - 1
-    own = F.array_distinct(F.array(F.least(F.floor(at).cast("int"), last), F.greatest(F.ceil(at).cast("int") - 1, F.lit(0))))
+    own = F.array_distinct(_tiles_of(width)[0])
     counted = in_regions.withColumn("sub", F.explode(own)).groupBy(*REGION, "sub").agg(F.count("*").alias("events"))
     spans = (F.least(F.col("hi"), F.col("lo") + (F.col("sub") + 1) * width) - (F.col("lo") + F.col("sub") * width)).alias("span")
     return tiles.join(counted, [*REGION, "sub"], "left").select(*REGION, "lo", "sub", spans, F.coalesce("events", F.lit(0)).alias("events"))
 
 
-def rhythm_vector(in_regions: DataFrame) -> DataFrame:
-    """One row per region with events: the whole vector of rhythm statistics."""
-    gaps = with_gaps(in_regions)
-    stats = pulses(gaps)
-    base = gaps.join(stats.select(*REGION, "vel_mean", "vel_std", "pulse"), REGION)
+def _tiles_of(width: float = 4.0):
+    """The tiles of ``width`` that an event of a region lies in (two on a common edge), and how many a region has."""
+    n = F.ceil((F.col("hi") - F.col("lo")) / width).cast("int")
+    at = (F.col("t") - F.col("lo")) / width
+    return F.array(F.least(F.floor(at).cast("int"), n - 1), F.greatest(F.ceil(at).cast("int") - 1, F.lit(0))), n
+
+
+def rhythm_vector(in_regions: DataFrame, block: float | None = None) -> DataFrame:
+    """One row per region with events: the whole vector of rhythm statistics. ``block``: see ``with_gaps``."""
+    gaps = with_gaps(in_regions, block)
+    base = with_stats(gaps, bounded=block is None)
     phase = F.when(F.col("pulse") > 0, ((F.col("t") - F.col("lo")) % F.col("pulse")) / F.col("pulse"))
-    second = base.groupBy(*REGION).agg(
+    tiles, n_tiles = _tiles_of()
+    stats = base.groupBy(*REGION, "lo", "hi", "n", "n_ioi", "vel_mean", "vel_std", "pulse").agg(
         F.avg((F.col("vel") >= F.col("vel_mean") + F.col("vel_std")).cast("int")).alias("accents"),
         F.coalesce(F.avg(F.least(phase, 1 - phase)), F.lit(0.0)).alias("syncopation"),
+        F.count_if(F.col("gap") <= 0.08).alias("close"),
+        F.array(*counts_of(pitch_class(F.col("note")), 12)).alias("pcs"),
+        F.array_union(F.collect_set(tiles[0]), F.collect_set(tiles[1])).alias("filled"),  # as many as a region has tiles
     )
-    histogram = ioi_histogram(gaps)
-    common = common_iois(histogram).groupBy(*REGION).agg(
+    common = common_iois(ioi_histogram(gaps)).groupBy(*REGION).agg(
         joined(F.transform(F.array_sort(F.collect_list(F.struct("rank", "ioi"))), lambda x: F.format_number(x["ioi"], 2))).alias("common_iois"), F.max("n").alias("most")
     )
-    silent = sub_bins(in_regions).groupBy(*REGION).agg(F.avg((F.col("events") == 0).cast("int")).alias("silence"))
     n, span = F.col("n"), F.col("hi") - F.col("lo")
     return (
-        stats.join(second, REGION).join(common, REGION, "left").join(silent, REGION).select(
+        stats.join(common, REGION, "left").select(
             *REGION,
             n.alias("note_on_count"),
             round6(F.when(span > 0, n / span).otherwise(n)).alias("density"),
             round6(F.col("vel_mean")).alias("mean_velocity"),
             round6(F.col("vel_std")).alias("std_velocity"),
             round6(F.col("accents")).alias("accent_ratio"),
-            round6(F.col("silence")).alias("silence_ratio"),
+            round6((n_tiles - F.size("filled")) / n_tiles).alias("silence_ratio"),
             round6(F.when(n > 1, F.col("close") / (n - 1)).otherwise(0.0)).alias("polyphonic_density"),
             F.coalesce("common_iois", F.lit("")).alias("common_iois"),
             round6(F.col("pulse")).alias("pulse_seconds"),
@@ -118,8 +144,7 @@ def subdivisions(gaps: DataFrame, pulse: float | None = None) -> DataFrame:
 
     Intervals are measured in pulses: the given one, or each region's own.
     """
-    own = pulses(gaps).select(*REGION, F.col("pulse") if pulse is None else F.lit(pulse).alias("pulse"))
-    base = gaps.where("gap > 0").join(own, REGION)
+    base = (with_stats(gaps) if pulse is None else gaps.withColumn("pulse", F.lit(pulse))).where("gap > 0")
     ratio = F.when(F.col("pulse") > 0, F.col("gap") / F.col("pulse"))
     third = 1.0 / 3.0
     scored = base.groupBy(*REGION).agg(
@@ -157,7 +182,7 @@ def pulse_stability(gaps: DataFrame) -> DataFrame:
 def microtiming(gaps: DataFrame) -> DataFrame:
     """Mean and spread, in milliseconds, of events' distances from the grid of a half or, for triplets and swing, a third pulse."""
     kinds = subdivisions(gaps).select(*REGION, "subdivision")
-    base = gaps.join(pulses(gaps).select(*REGION, "pulse"), REGION).join(kinds, REGION, "left").where("pulse > 0")
+    base = with_stats(gaps).where("pulse > 0").join(kinds, REGION, "left")
     step = F.col("pulse") / F.when(F.col("subdivision").isin("triplet", "swing"), 3.0).otherwise(2.0)
     at = F.greatest(F.lit(0.0), F.col("t") - F.col("lo"))
     rest = at - F.bround(at / F.greatest(step, F.lit(1e-6))) * step
@@ -167,7 +192,7 @@ def microtiming(gaps: DataFrame) -> DataFrame:
 
 def meter_hypotheses(gaps: DataFrame, k: int = 4) -> DataFrame:
     """The k best of six meters for each region of at least eight events and a pulse; weak ones are called undetermined."""
-    base = gaps.join(pulses(gaps).select(*REGION, "pulse", "n", "vel_mean", "vel_std"), REGION).where("pulse > 0 and n >= 8")
+    base = with_stats(gaps).where("pulse > 0 and n >= 8")
     meters = F.array(*[F.struct(F.lit(i).alias("nth"), F.lit(m).alias("meter"), F.lit(b).alias("beats")) for i, (m, b, _) in enumerate(METERS)])
     each = base.withColumn("m", F.explode(meters)).select(*REGION, "lo", "t", "pulse", (F.col("vel") >= F.col("vel_mean") + F.col("vel_std") * 0.4).alias("accent"), "m.*")
     at = F.greatest(F.lit(0.0), F.col("t") - F.col("lo"))
@@ -191,23 +216,26 @@ def meter_hypotheses(gaps: DataFrame, k: int = 4) -> DataFrame:
 
 
 def cycles(gaps: DataFrame, most: int = 24) -> DataFrame:
-    """The lag, in beats, at which a region's onsets per beat repeat best (autocorrelation), for regions of 16 events or more."""
-    base = gaps.join(pulses(gaps).select(*REGION, "pulse", "n"), REGION).where("pulse > 0 and n >= 16")
+    """The lag, in beats, at which a region's onsets per beat repeat best (autocorrelation), for regions of 16 events or more.
+
+    Lags of 2 up to half of the beats and less than ``most`` are tried. The first event of a region brings a zero for each beat.
+    """
+    order = Window.partitionBy(*REGION).orderBy("t", "seq")
+    base = with_stats(gaps).withColumn("first", F.row_number().over(order) == 1).where("pulse > 0 and n >= 16")
     beats = F.greatest(F.lit(1), ((F.col("hi") - F.col("lo")) / F.col("pulse")).cast("int"))
-    onsets = base.withColumn("beats", beats).withColumn("beat", ((F.col("t") - F.col("lo")) / F.col("pulse")).cast("int")).where("beat >= 0 and beat < beats")
-    series = onsets.groupBy(*REGION, "beats", "beat").agg(F.sum(1 + F.col("vel") / 127.0 * 0.2).alias("x"))
-    heads = series.select(*REGION, "beats").distinct()
-    filled = heads.withColumn("beat", F.explode(F.sequence(F.lit(0), F.col("beats") - 1))).join(series.drop("beats"), [*REGION, "beat"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
-    moments = filled.groupBy(*REGION).agg(F.avg("x").alias("center"), F.var_pop("x").alias("var"), F.count("*").alias("m"))
-    centered = filled.join(moments, REGION).withColumn("x", F.col("x") - F.col("center"))
-    lags = centered.withColumn("lag", F.explode(F.sequence(F.lit(2), F.least(F.lit(most), F.floor(F.col("beats") / 2).cast("int") + 1) - 1))) if most else centered
-    lags = lags.where("lag >= 2 and lag < beats")
-    later = centered.select(*REGION, F.col("beat").alias("at"), F.col("x").alias("y"))
-    moved = lags.withColumn("at", F.col("beat") + F.col("lag")).join(later, [*REGION, "at"])
-    corr = moved.groupBy(*REGION, "lag").agg((F.sum(F.col("x") * F.col("y")) / F.max(F.col("var") * F.col("m"))).alias("r"))
-    best = corr.withColumn("r", round6(F.col("r"))).where("r > 0").groupBy(*REGION).agg(F.max_by("lag", F.struct(F.col("r"), -F.col("lag"))).alias("lag"), F.max("r").alias("r"))
-    peak = F.coalesce("r", F.lit(0.0))
-    return heads.join(best, REGION, "left").select(*REGION, F.coalesce("lag", F.lit(0)).alias("cycle_beats"), round6(peak).alias("peak"), round6(clamp01((peak + 0.1) / 1.1)).alias("confidence"), F.col("beats").alias("series_beats"))
+    onset = F.struct(((F.col("t") - F.col("lo")) / F.col("pulse")).cast("int").alias("beat"), (1 + F.col("vel") / 127.0 * 0.2).alias("x"), F.lit(1).alias("own"))
+    empty = F.transform(F.sequence(F.lit(0), F.col("beats") - 1), lambda b: F.struct(b.alias("beat"), F.lit(0.0).alias("x"), F.lit(0).alias("own")))
+    each = base.withColumn("beats", beats).withColumn("e", F.explode(F.when(F.col("first"), F.concat(F.array(onset), empty)).otherwise(F.array(onset))))
+    series = each.where("e.beat >= 0 and e.beat < beats").groupBy(*REGION, "beats", "e.beat").agg(F.sum("e.x").alias("x"), F.sum("e.own").alias("own"))
+    region = Window.partitionBy(*REGION)
+    moments = series.withColumns({"c": F.avg("x").over(region), "den": F.var_pop("x").over(region) * F.count("*").over(region)})
+    lags = range(2, most)
+    later = moments.withColumns({f"y{k}": F.lead("x", k).over(region.orderBy("beat")) for k in lags})
+    summed = later.groupBy(*REGION, "beats", "den").agg(F.sum("own").alias("own"), *[F.sum((F.col("x") - F.col("c")) * (F.col(f"y{k}") - F.col("c"))).alias(f"s{k}") for k in lags]).where("own > 0")
+    tried = F.array(*[F.struct(F.when((F.col("den") > 0) & (F.floor(F.col("beats") / 2) >= k), round6(F.col(f"s{k}") / F.col("den"))).alias("r"), F.lit(-k).alias("minus")) for k in lags])
+    best = summed.withColumn("best", F.array_max(F.filter(tried, lambda x: x["r"] > 0)))
+    peak = F.coalesce("best.r", F.lit(0.0))
+    return best.select(*REGION, F.coalesce(-F.col("best.minus"), F.lit(0)).alias("cycle_beats"), round6(peak).alias("peak"), round6(clamp01((peak + 0.1) / 1.1)).alias("confidence"), F.col("beats").alias("series_beats"))
 
 
 def phrase_shapes(in_regions: DataFrame) -> DataFrame:
@@ -232,8 +260,7 @@ def token_grid(gaps: DataFrame) -> DataFrame:
 
     The last event of a step decides on its accent. Between 8 and 64 steps; without a pulse the grid is a sixteenth of the region.
     """
-    stats = pulses(gaps).select(*REGION, "pulse", "vel_mean")
-    base = gaps.join(stats, REGION)
+    base = with_stats(gaps)
     span = F.col("hi") - F.col("lo")
     grid = F.when(F.col("pulse") > 0, F.col("pulse") / 2).otherwise(F.greatest(F.lit(0.1), span / 16))
     steps = F.least(F.lit(64), F.greatest(F.lit(8), F.bround(span / grid).cast("int")))

@@ -96,7 +96,9 @@ _ALL_REGIONS = [NOTES_SQL, PERFS_SQL, BINS_SQL, WINDOWS_SQL, SEGMENTS_SQL, music
 
 @query(_vector_sql(_ALL_REGIONS))
 def rhythm_vector_multi_granularity(spark, sf_dir):
-    return rhythm.rhythm_vector(in_regions(spark, sf_dir))
+    whole = F.col("kind") == "performance"
+    every = in_regions(spark, sf_dir)
+    return rhythm.rhythm_vector(every.where(~whole)).unionByName(rhythm.rhythm_vector(every.where(whole), block=music.SEGMENT))
 
 
 @query(with_sql(*WINDOWED) + """, hist as (select perf, kind, idx, round(gap, 2) as ioi, count(*) as n, min(t) as first from gaps where gap > 0 group by perf, kind, idx, round(gap, 2))
