@@ -297,6 +297,7 @@ def pair_quality(pairs: DataFrame) -> DataFrame:
 
     Also looks at reliability, boundary, motif, blocked and, where given, ambiguity, witness (a status), disputed, unresolved, review_heavy and
     long_form. A target in a state that its task doesn't allow goes to review at best.
+    A filter on what is added here is pushed below it and repeats the score's expressions: rank or write first, then filter.
     """
     flag = lambda c: given(pairs, c) > 0
     state, notes = F.col("target_state"), F.col("target_notes")

@@ -96,3 +96,39 @@ _HAS = "list_bool_or(list_transform(active, lambda r: list_contains(active, (r +
   len(active)::int as classes, array_to_string(list_transform(active, lambda r: {_NAMES}[(r + 1)::int]), ' ') as active from chords""")
 def sonority_type(spark, sf_dir):
     return harmony.sonorities(timeline(spark, sf_dir))
+
+
+_SLICES = f"""moved as (select *, row_number() over w as nth, lead(note) over w - note as step, lead(note, 2) over w - note as upper, lead(note, 3) over w - lead(note) over w as lower, round(lead(t) over w - t, 4) as gap from located window w as (partition by perf, kind, idx order by t, seq)),
+facts as (select perf, kind, idx, lo, hi, count(*) as n, greatest(1, count(step)) as steps, min(note) as lowest, max(note) as highest, count(case when note < 48 then 1 end) as low, count(case when note >= 48 and note < 72 then 1 end) as mid, count(case when note >= 72 then 1 end) as high,
+  [{", ".join(f"count(case when note % 12 = {i} then 1 end)" for i in range(12))}] as pcs, avg(vel) as vel, count(case when abs(step) <= 2 then 1 end) as small, count(case when abs(step) % 12 in (5, 7) then 1 end) as fifths, count(case when abs(step) % 12 = 6 then 1 end) as tritones,
+  count(case when abs(step) = 1 then 1 end) as semitones, count(case when step <> 0 and least(abs(step) % 12, 12 - abs(step) % 12) <= 2 then 1 end) as seconds, count(case when nth <= 64 and step > 0 then 1 end) as ups, count(case when nth <= 64 and step < 0 then 1 end) as downs,
+  count(case when nth <= 64 and step = 0 then 1 end) as statics, arg_max(note % 12, nth) as last, count(case when step % 12 = 0 then 1 end) as common_tones, coalesce(sum(abs(step)), 0)::double as motion, count(case when (step % 12 + 12) % 12 in (1, 2, 10, 11) then 1 end) as stepwise,
+  count(case when nth % 2 = 1 and lower is not null then 1 end) as pairs, count(case when nth % 2 = 1 and upper * lower < 0 then 1 end) as against, count(case when gap > 0 then 1 end) as n_ioi, count(distinct case when gap > 0 then gap end) as iois, count(distinct note) as notes
+  from moved group by perf, kind, idx, lo, hi),
+judged as (select *, case when n < 8 then least(0.45::double, least(0.95::double, 0.25::double + n / 120.0::double)) else least(0.95::double, 0.25::double + n / 120.0::double) end as c, list_position(pcs, list_max(pcs)) - 1 as center_at, list_max(pcs) / n::double as share,
+  case when n >= 6 and pairs > 0 then against / pairs::double else 0 end as contrary_, list_filter(range(0, 12), lambda i: pcs[i + 1] > 0) as active from facts),
+slices as (select perf, kind, idx, round(c, 6) as confidence, lowest, highest, low, mid, high, array_to_string(pcs, ' ') as pitch_classes, {_NAMES}[(center_at + 1)::int] as center, round(share, 6) as center_share, round(vel, 6) as mean_velocity,
+  round(small / steps::double, 6) as small_share, round(fifths / steps::double, 6) as fourth_fifth_share, round(tritones / steps::double, 6) as tritone_share, round(semitones / steps::double, 6) as chromatic_share, round(seconds / steps::double, 6) as cluster_share,
+  ups, downs, statics, case when ups > downs then 'ascending_tendency_candidate' else 'descending_or_balanced_candidate' end as contour_shape, round(abs(ups - downs) / greatest(1, ups + downs + statics)::double, 6) as contour_score,
+  last = center_at as arrival, case when last = center_at then round(least(0.92::double, 0.45::double + share), 6) end as arrival_confidence,
+  case when len(active) <= 1 then 'single_pitch_or_drone_candidate' when len(active) >= 5 and list_min(list_transform(range(1, len(active)), lambda i: active[i + 1] - active[i])) <= 2 then 'cluster_sonority_candidate'
+    when {_HAS.format(4, 7)} or {_HAS.format(3, 7)} then 'triadic_sonority_candidate' when {_HAS.format(5, 10)} then 'quartal_sonority_candidate' when len(active) >= 6 then 'extended_or_color_sonority_candidate' else 'ambiguous_or_nonfunctional_sonority_candidate' end as sonority,
+  highest - lowest as voicing_span, {_NAMES}[(center_at + 1)::int] || '_centered_candidate' as chord_label, round(least(0.78::double, c * 0.85::double), 6) as chord_confidence, case when seconds >= 3 then 'cluster_color_candidate' else 'non_cluster_candidate' end as color, notes >= 5 as extended,
+  common_tones, round(motion / steps, 6) as mean_motion, round(stepwise / steps::double, 6) as stepwise_share, case when last = center_at then round(least(0.7::double, c * 0.8::double), 6) end as cadence_confidence,
+  greatest(1, least(6, round_even(n / greatest(1, hi - lo) * 0.6::double, 0)::int)) as voices, round(contrary_, 6) as contrary, round(greatest(0, 1 - contrary_), 6) as parallel, case when n_ioi >= 3 then round(least(0.65::double, 0.25::double + n_ioi / 30.0::double), 6) end as response_confidence,
+  round(least(1, iois / 6.0::double), 6) as rhythm_independence, round(least(1, notes / 12.0::double), 6) as pitch_independence, round(least(c, 0.72::double), 6) as tuning_confidence from judged)"""
+
+
+@query(with_sql(*WINDOWED[:-1], _SLICES) + "select * from slices")
+def pitch_harmony_records(spark, sf_dir):
+    """The seven kinds of pitch and harmony records of each window, side by side."""
+    return harmony.pitch_harmony(in_windows(spark, sf_dir))
+
+
+@query(with_sql(*BINNED[:-1], _SLICES) + """, k as (select perf, sonority, count(*) as n from slices group by perf, sonority),
+f as (select perf, string_agg(sonority || ':' || n, ' ' order by n desc, sonority) as families from k group by perf),
+w as (select perf, round(sum(round(confidence * 1e9::double)::bigint)::double / count(*) / 1e9::double, 6) as confidence, count(*) as regions, round(count(case when cluster_share > 0.2 then 1 end) / count(*)::double, 6) as cluster_regions, count(case when arrival then 1 end) as arrivals from slices group by perf)
+select w.*, least(0.8::double, confidence) as tonal_center, round(greatest(0.2::double, 1 - confidence), 6) as no_clear_center, families from w join f using (perf)""")
+def pitch_harmony_macro(spark, sf_dir):
+    """What the records of a performance's bins say of the whole."""
+    return harmony.pitch_harmony_macro(harmony.pitch_harmony(in_bins(spark, sf_dir)))

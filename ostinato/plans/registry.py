@@ -1,7 +1,7 @@
 """All queries by name, with their SQL."""
 
-from ostinato.plans import corpus, events, harmony, records, reviews, rhythm, selections
+from ostinato.plans import corpus, events, generation, harmony, records, reviews, rhythm, selections
 
-_MODULES = (rhythm, harmony, events, records, corpus, reviews, selections)
+_MODULES = (rhythm, harmony, events, records, corpus, reviews, selections, generation)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
