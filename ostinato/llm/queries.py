@@ -1,11 +1,11 @@
-"""The queries of the ten operators over whole tables, and the SQL of those that SQL can express."""
+"""The queries of the thirteen operators over whole tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ostinato.llm import licenses, mixing, packing, preferences, simhash, substring, syncmers, token_files, topk, toxicity
+from ostinato.llm import fill_middle, licenses, mixing, packing, preferences, simhash, spelling, subspace, substring, syncmers, token_files, topk, toxicity
 from ostinato.llm.common import scratch_path, table
 
 #: Contract: labels are learned from rows whose crc32 of the id as text leaves another remainder than this.
@@ -76,7 +76,21 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_closed_syncmers, op2_mix_sources, op3_preference_format, op4_token_files, op5_best_fit_packing, op6_license_scan, op7_toxicity, op8_simhash, op9_substring_dedup, op10_exact_top_k)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subspace.near_vectors(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
+QUERIES = {f.__name__: f for f in (op1_closed_syncmers, op2_mix_sources, op3_preference_format, op4_token_files, op5_best_fit_packing, op6_license_scan, op7_toxicity, op8_simhash, op9_substring_dedup, op10_exact_top_k, op11_spelling_variants, op12_fill_in_middle, op13_near_vectors)}
 
 _MIX_SQL = r"""
 with recursive sized as (
@@ -212,10 +226,75 @@ from q join v c on c.r <> q.r and len(c.v) = len(q.v)
 qualify rank <= 10
 """
 
+#: The CRC-32 has no function in this SQL: 256 steps of its polynomial make the table, and the bytes are folded over it.
+_SPELLING_SQL = r"""
+with recursive steps as (
+  select range as b, range::bigint as c, 0 as k from range(256)
+  union all
+  select b, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from steps where k < 8),
+crc as (select list(c order by b) as t from steps where k = 8),
+runs as (
+  select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n
+  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) as run from documents) group by all),
+coded as (
+  select run, n, list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || run, ''), lambda c: unicode(c)::bigint) as points from runs where length(run) >= 5),
+bytes as (select run, n, flatten(list_transform(points, lambda p: case when p < 128 then [p] else [(p >> 6) | 192, (p & 63) | 128] end)) as b from coded),
+hashed as (select run, n, xor(list_reduce(b, lambda h, x: xor(h >> 8, t[(xor(h, x) & 255) + 1]), 4294967295::bigint), 4294967295) as h from bytes, crc),
+slipped as (
+  select case when h % 97 = 0 then substring(run, 1, (h % length(run))::int) || substring(run, (h % length(run))::int + 2) else run end as word, n from hashed),
+words as (select word, sum(n)::bigint as n from slipped where length(word) >= 5 group by word having sum(n) >= 3),
+without as (select word, n, unnest(range(1, length(word) + 1)) as i, substring(word, 1, i - 1) as a, substring(word, i + 1) as z from words),
+pairs as (
+  select x.word, y.word as near, y.n as near_n from without x join without y on x.i = y.i and x.a = y.a and x.z = y.z and x.word <> y.word
+  union
+  select x.word, y.word, y.n from without x join words y on y.word = x.a || x.z
+  union
+  select y.word, x.word, x.n from without x join words y on y.word = x.a || x.z),
+best as (select word, count(*) as n_near, first(near order by near_n desc, near) as form, max(near_n) as form_n from pairs group by word),
+formed as (
+  select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when form_n >= 2 * w.n then form end as form, case when form_n >= 2 * w.n then form_n end as form_n
+  from words w left join best using (word)),
+chains as (select word, form as root from formed where form is not null union all select c.word, f.form from chains c join formed f on f.word = c.root where f.form is not null),
+ends as (select c.word, c.root from chains c join formed f on f.word = c.root where f.form is null)
+select f.word, f.form, coalesce(e.root, f.word) as root, f.n, f.n_near, f.form_n::bigint as form_n from formed f left join ends e using (word)
+"""
+
+_FILL_SQL = r"""
+with units as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+drawn as (select *, len(u)::bigint as n, list_transform(range(4), lambda i: ('0x' || substring(h, (8 * i + 1)::int, 8))::bigint) as d from units),
+formed as (
+  select *, least(d[1] % (n + 1), d[2] % (n + 1)) as a, greatest(d[1] % (n + 1), d[2] % (n + 1)) as b,
+         case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or d[3] % 100 >= 90 then 'plain'
+              when d[4] % 100 < 20 then 'spm' else 'psm' end as form from drawn),
+parts as (
+  select *, coalesce(array_to_string(u[1:a], ''), '') as p, coalesce(array_to_string(u[a + 1:b], ''), '') as m, coalesce(array_to_string(u[b + 1:], ''), '') as s from formed)
+select doc_id, n, form, case when form <> 'plain' then length(p) end::bigint as prefix_chars, case when form <> 'plain' then length(m) end::bigint as middle_chars,
+       sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+       sha256(case form when 'plain' then text else p || m || s end) as restored_sha256
+from parts
+"""
+
+_NEAR_SQL = """
+with recursive v as (select row_number() over () as r, vec_id, embedding::double[] as e from embeddings),
+good as (
+  select r, vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) as e
+  from v where e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (select a.r, b.r as other from good a join good b on a.r <> b.r and len(a.e) = len(b.e) where list_inner_product(a.e, b.e) >= 0.95),
+counted as (select r, count(*) as n_links from links group by r),
+reached as (select r, r as other from v union select d.r, l.other from reached d join links l on d.other = l.r),
+named as (select d.r, min(v.vec_id) as component_id from reached d join v on v.r = d.other group by d.r)
+select v.vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, v.vec_id is not distinct from component_id as kept
+from v left join counted using (r) left join named using (r)
+"""
+
 ORACLES = {
     "op2_mix_sources": _MIX_SQL,
     "op3_preference_format": _PREFERENCE_SQL,
     "op6_license_scan": _license_sql(),
     "op9_substring_dedup": _SUBSTRING_SQL,
     "op10_exact_top_k": _TOP_K_SQL,
+    "op11_spelling_variants": _SPELLING_SQL,
+    "op12_fill_in_middle": _FILL_SQL,
+    "op13_near_vectors": _NEAR_SQL,
 }
