@@ -88,7 +88,7 @@ def route(words: DataFrame, forward: list[tuple[int, str]], reverse: list[tuple[
                 wanted = asked(w, back, m)
                 if best is None or len(wanted) < len(best):
                     best, split = wanted, m
-                if len(best) <= 2:
+                if len(best) <= 4:  # two lengths on two sides: seldom fewer
                     break
             out += [(side, max(0, bisect_right(starts, (len(w), key)) - 1), 0, split, i) for side, (starts, key) in enumerate(zip(sides, (w, back)))]
             out += [(side, b, 1, split, i) for side, b in best]
