@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ostinato.functions.scalars import clamp01, round6
+from ostinato.operators import ordered
 
 
 def normalised(curve: DataFrame) -> DataFrame:
@@ -19,10 +20,16 @@ def normalised(curve: DataFrame) -> DataFrame:
     return curve.join(span, "perf").withColumn("norm", F.when(wide > 1e-9, (F.col("value") - F.col("_low")) / wide).otherwise(0.0)).drop("_low", "_high")
 
 
+#: Frames in a block of a curve: neighbours are looked up block by block, so no task holds a whole curve.
+FRAMES = 4096
+
+
 def with_neighbours(curve: DataFrame, value: str = "norm") -> DataFrame:
-    """Adds ``prev`` and ``next``, by joins on the frame number: no task holds a whole curve."""
-    side = lambda shift, name: curve.select("perf", (F.col("frame") + shift).alias("frame"), F.col(value).alias(name))
-    return curve.join(side(1, "prev"), ["perf", "frame"], "left").join(side(-1, "next"), ["perf", "frame"], "left")
+    """Adds ``prev`` and ``next``: the values of the frames beside each one, null where there is no such frame."""
+    block = F.floor(F.col("frame") / FRAMES).cast("long")
+    beside = ordered.neighbours(curve.withColumn("_of", F.struct("frame", F.col(value).alias("x"))), ["perf"], block, ["frame"], {"_v": "_of"}, before=1, after=1)
+    at = lambda c, shift: F.when(F.col(c)["frame"] == F.col("frame") + shift, F.col(c)["x"])
+    return beside.withColumn("prev", at("_v_prev1", -1)).withColumn("next", at("_v_next1", 1)).drop("_of", "_v_prev1", "_v_next1")
 
 
 def derivative(curve: DataFrame, value: str = "norm") -> DataFrame:
