@@ -31,28 +31,23 @@ def _sum_over(hist: Column, root: int, steps: tuple[int, ...]) -> Column:
     return sum((F.get(hist, F.lit((root + s) % 12)) for s in steps[1:]), F.get(hist, F.lit(root)))
 
 
-def chords(in_bins: DataFrame) -> DataFrame:
-    """One row per bin with events: chord, root, confidence, bass and active classes.
+def with_chord(regions: DataFrame) -> DataFrame:
+    """Adds quality, root, confidence, bass and active classes to rows with ``h`` (counts of 12 classes), ``low`` and ``n``.
 
     The best of 36 triads by covered notes; a tie goes to the lower root and, within a root, to the chord that is tried first.
     """
-    hist = F.array(*[F.count_if(pitch_class(F.col("note")) == i) for i in range(12)])
-    base = in_bins.groupBy(*REGION, "lo", "hi").agg(hist.alias("h"), F.min("note").alias("low"), F.count("*").alias("n"))
     tried = F.array(*[F.struct(_sum_over(F.col("h"), r, steps).alias("score"), F.lit(-r).alias("r"), F.lit(-i).alias("i")) for r in range(12) for i, (_, steps) in enumerate(CHORDS)])
-    best = base.withColumn("b", F.array_max(tried))
-    kind = F.get(F.array(*[F.lit(k) for k, _ in CHORDS]), -F.col("b.i"))
+    best = regions.withColumn("_b", F.array_max(tried))
+    kind = F.get(F.array(*[F.lit(k) for k, _ in CHORDS]), -F.col("_b.i"))
     active = F.filter(F.sequence(F.lit(0), F.lit(11)), lambda i: F.get(F.col("h"), i) > 0)
-    return best.select(
-        *REGION,
-        "lo",
-        "hi",
-        kind.alias("quality"),
-        (-F.col("b.r")).alias("root"),
-        round6(F.col("b.score") / F.col("n")).alias("confidence"),
-        pitch_class(F.col("low")).alias("bass"),
-        active.alias("active"),
-        "n",
-    )
+    return best.withColumns({"quality": kind, "root": -F.col("_b.r"), "confidence": round6(F.col("_b.score") / F.col("n")), "bass": pitch_class(F.col("low")), "active": active}).drop("_b")
+
+
+def chords(in_bins: DataFrame) -> DataFrame:
+    """One row per bin with events: chord, root, confidence, bass and active classes; see :func:`with_chord`."""
+    hist = F.array(*[F.count_if(pitch_class(F.col("note")) == i) for i in range(12)])
+    base = in_bins.groupBy(*REGION, "lo", "hi").agg(hist.alias("h"), F.min("note").alias("low"), F.count("*").alias("n"))
+    return with_chord(base).select(*REGION, "lo", "hi", "quality", "root", "confidence", "bass", "active", "n")
 
 
 def root_motion(timeline: DataFrame, part: Column) -> DataFrame:
