@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ostinato.functions.scalars import counts_of, joined, mean6, pitch_class, pitch_class_name, round6
+from ostinato.operators import ordered
 
 REGION = ["perf", "kind", "idx"]
 #: The chord kinds in the order in which they are tried, with their intervals over the root.
@@ -75,6 +76,49 @@ def pedal_tones(timeline: DataFrame, part: Column, least: float = 0.5) -> DataFr
     return ranked.where((F.col("rank") == 1) & (F.col("dominance") >= least)).select("perf", "part", "bass", "dominance")
 
 
+def motion_regions(motion: DataFrame, vamps: int = 20, listed: int = 10) -> DataFrame:
+    """``root_motion`` -> perf, listing, rank, part, changes, repeated: vamps (at least half of the moves stay) in order of time, and the
+    parts that change least ('static') and most ('active'), ties in order of time. The numbers listed are the operator's own limits."""
+    by = lambda *order: F.row_number().over(Window.partitionBy("perf").orderBy(*order))
+    lists = [("vamp", motion.where("repeated >= 0.5"), by("part"), vamps), ("static", motion, by("changes", "part"), listed), ("active", motion, by(F.desc("changes"), "part"), listed)]
+    parts = [rows.withColumn("rank", rank).where(F.col("rank") <= most).select("perf", F.lit(name).alias("listing"), "rank", "part", "changes", "repeated") for name, rows, rank, most in lists]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def root_sequences(motion: DataFrame, size: int = 4, least: int = 2, k: int = 12) -> DataFrame:
+    """perf, rank, sequence, n: the first ``size`` root intervals of each part, where ``least`` parts or more begin alike; ties: the earliest."""
+    first = F.slice(F.split("intervals", " "), 1, size)
+    keyed = motion.where("intervals <> ''").groupBy("perf", F.array_join(first, "-").alias("sequence")).agg(F.count("*").alias("n"), F.min("part").alias("first"))
+    rank = F.row_number().over(Window.partitionBy("perf").orderBy(F.desc("n"), "first", "sequence"))
+    return keyed.where(F.col("n") >= least).withColumn("rank", rank).where(F.col("rank") <= k).select("perf", "rank", "sequence", "n")
+
+
+def common_intervals(motion: DataFrame, k: int = 5) -> DataFrame:
+    """perf, rank, step, n: the root intervals that a performance's parts have most, ties as first seen."""
+    steps = motion.where("intervals <> ''").select("perf", "part", F.posexplode(F.split("intervals", " ")).alias("at", "step"))
+    counted = steps.groupBy("perf", F.col("step").cast("int").alias("step")).agg(F.count("*").alias("n"), F.min(F.struct("part", "at")).alias("first"))
+    rank = F.row_number().over(Window.partitionBy("perf").orderBy(F.desc("n"), "first"))
+    return counted.withColumn("rank", rank).where(F.col("rank") <= k).select("perf", "rank", "step", "n")
+
+
+#: Bins in a block when runs are looked for.
+RUN_BLOCK = 1024
+
+
+def chord_runs(timeline: DataFrame) -> DataFrame:
+    """perf, run, first, last, bins, root, quality, lo, hi: stretches of consecutive bins with one chord (gaps and islands, block by block).
+
+    A bin without events ends a run. Runs are numbered from 1 in order of time.
+    """
+    block = F.floor(F.col("idx") / RUN_BLOCK).cast("int")
+    own = timeline.select("perf", "idx", "lo", "hi", "root", "quality", F.struct("idx", "root", "quality").alias("at"))
+    beside = ordered.neighbours(own, ["perf"], block, ["idx"], {"at": "at"}, before=1, after=0)
+    goes_on = (F.col("at_prev1.idx") == F.col("idx") - 1) & (F.col("at_prev1.root") == F.col("root")) & (F.col("at_prev1.quality") == F.col("quality"))
+    marked = beside.withColumn("new", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
+    numbered = ordered.running_sum(marked, ["perf"], block, ["idx"], "new", "run")
+    return numbered.groupBy("perf", "run", "root", "quality").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count("*").alias("bins"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
 def motion_index(timeline: DataFrame, size: int = 4, k: int = 12) -> DataFrame:
     """The k most frequent runs of ``size`` roots in each performance that occur twice or more, ties as first met."""
     order = Window.partitionBy("perf").orderBy("idx")

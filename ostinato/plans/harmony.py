@@ -132,3 +132,37 @@ select w.*, least(0.8::double, confidence) as tonal_center, round(greatest(0.2::
 def pitch_harmony_macro(spark, sf_dir):
     """What the records of a performance's bins say of the whole."""
     return harmony.pitch_harmony_macro(harmony.pitch_harmony(in_bins(spark, sf_dir)))
+
+
+def _motion(spark, sf_dir):
+    return harmony.root_motion(timeline(spark, sf_dir), F.floor(F.col("idx") / 15).cast("int"))
+
+
+@query(f"""with m as ({ORACLES['root_motion_scores']})
+select perf, 'vamp' as listing, (row_number() over (partition by perf order by part))::int as rank, part, changes, repeated from m where repeated >= 0.5 qualify rank <= 20
+union all select perf, 'static', (row_number() over (partition by perf order by changes, part))::int as rank, part, changes, repeated from m qualify rank <= 10
+union all select perf, 'active', (row_number() over (partition by perf order by changes desc, part))::int as rank, part, changes, repeated from m qualify rank <= 10""")
+def harmony_regions(spark, sf_dir):
+    """Vamps, and the parts of a performance whose harmony moves least and most."""
+    return harmony.motion_regions(_motion(spark, sf_dir))
+
+
+@query(f"""with m as ({ORACLES['root_motion_scores']}), k as (select perf, array_to_string(string_split(intervals, ' ')[1:4], '-') as sequence, count(*) as n, min(part) as first from m where intervals <> '' group by 1, 2 having count(*) >= 2)
+select perf, (row_number() over (partition by perf order by n desc, first, sequence))::int as rank, sequence, n from k qualify rank <= 12""")
+def repeated_root_sequences(spark, sf_dir):
+    return harmony.root_sequences(_motion(spark, sf_dir))
+
+
+@query(f"""with m as ({ORACLES['root_motion_scores']}), s as (select perf, part, unnest(string_split(intervals, ' '))::int as step, unnest(range(1, len(string_split(intervals, ' ')) + 1)) as place from m where intervals <> ''),
+c as (select perf, step, count(*) as n, min((part, place)) as first from s group by perf, step)
+select perf, (row_number() over (partition by perf order by n desc, first))::int as rank, step, n from c qualify rank <= 5""")
+def root_intervals_top5(spark, sf_dir):
+    return harmony.common_intervals(_motion(spark, sf_dir))
+
+
+@query(with_sql(*BINNED[:-1], _CHORDS) + """, f as (select perf, idx, lo, hi, root, quality, (idx - 1 is not distinct from lag(idx) over w and root is not distinct from lag(root) over w and quality is not distinct from lag(quality) over w) as goes_on from chords window w as (partition by perf order by idx)),
+r as (select *, sum(case when goes_on then 0 else 1 end) over (partition by perf order by idx) as run from f)
+select perf, run::bigint as run, min(idx)::int as first, max(idx)::int as last, count(*) as bins, root, quality, min(lo) as lo, max(hi) as hi from r group by perf, run, root, quality""")
+def chord_runs(spark, sf_dir):
+    """Stretches of consecutive bins with one chord."""
+    return harmony.chord_runs(timeline(spark, sf_dir))

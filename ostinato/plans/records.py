@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ostinato.functions.scalars import clamp01, mean6
-from ostinato.operators import intervals, ordered, records, rhythm
+from ostinato.operators import intervals, ordered, ranks, records, rhythm
 from ostinato.plans import events as event_plans
 from ostinato.plans.events import _METRICS, _RELIABLE
 from ostinato.plans.harmony import _CHORDS, timeline
 from ostinato.plans.rhythm import BINNED, PULSES, WINDOWED, in_bins, in_windows
-from ostinato.sources import music
+from ostinato.sources import music, scratch
 from ostinato.sources.music import SEGMENTS_SQL, WINDOWS_SQL, with_sql
 
 QUERIES, ORACLES = {}, {}
@@ -451,16 +451,12 @@ def pair_diagnostics(spark, sf_dir):
     return records.pair_quality(pair_rows(spark, sf_dir)).groupBy("split").agg(F.count("*").alias("n"), *[mean6(F.col(c)).alias(a) for c, a in (("final_score", "mean_score"), ("boundary", "mean_boundary"), ("motif", "mean_motif"))])
 
 
-@query(with_sql(*_PAIR_CTES) + """, s as (select perf, list_sort(list(final_score)) as x from scored_pairs group by perf)
-select perf, len(x)::int as n, x[round_even((len(x) - 1) * 0.25, 0)::int + 1] as p25, x[round_even((len(x) - 1) * 0.5, 0)::int + 1] as p50, x[round_even((len(x) - 1) * 0.75, 0)::int + 1] as p75 from s""")
+@query(with_sql(*_PAIR_CTES) + """, s as (select perf, list_sort(list(final_score)) as x, round(sum(round(final_score * 1e9::double)::bigint)::double / count(final_score) / 1e9::double, 6) as mean from scored_pairs group by perf)
+select perf, len(x) as n, mean, x[1] as least, x[round_even((len(x) - 1) * 0.25, 0)::int + 1] as p25, x[round_even((len(x) - 1) * 0.5, 0)::int + 1] as p50, x[round_even((len(x) - 1) * 0.75, 0)::int + 1] as p75, x[len(x)] as most from s""")
 def nearest_rank_distribution(spark, sf_dir):
-    """Quantiles as elements of the sorted scores: rank round((n - 1) p), half to even."""
-    scores = records.pair_quality(pair_rows(spark, sf_dir))
-    rank = F.row_number().over(Window.partitionBy("perf").orderBy("final_score")) - 1
-    n = F.count("*").over(Window.partitionBy("perf"))
-    placed = scores.select("perf", "final_score", rank.alias("r"), n.alias("n"))
-    of = lambda p, name: F.max(F.when(F.col("r") == F.bround((F.col("n") - 1) * F.lit(p)), F.col("final_score"))).alias(name)
-    return placed.groupBy("perf").agg(F.max("n").cast("int").alias("n"), of(0.25, "p25"), of(0.5, "p50"), of(0.75, "p75"))
+    """Seven statistics of the pairs' scores; quantiles are elements of the sorted scores: rank round((n - 1) p), half to even."""
+    scores = scratch.written(records.pair_quality(pair_rows(spark, sf_dir)).select("perf", "final_score"), "scores")
+    return ranks.distribution(scores, ["perf"], "final_score", mean6(F.col("final_score")))
 
 
 @query(with_sql(*_PAIR_CTES) + "select perf, idx as context_idx, final_score, round(0.6 - final_score, 6) as missing from split_pairs where split = 'review' and final_score >= 0.56 order by final_score desc, perf, idx limit 25")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ostinato.operators import intervals, ordered, rhythm
-from ostinato.sources import music
+from ostinato.operators import intervals, ordered, ranks, rhythm
+from ostinato.sources import music, scratch
 from ostinato.sources.music import BINS_SQL, NOTES_SQL, PERFS_SQL, SEGMENTS_SQL, WINDOWS_SQL, with_sql
 
 QUERIES, ORACLES = {}, {}
@@ -248,3 +248,13 @@ def motif_ngrams(spark, sf_dir):
 select perf, gram, repeats, regions, rel[1]::int as first_idx, rel[2]::int as first_place, round(least(0.95, 0.25 + repeats / 6.0::double), 6) as confidence from g""")
 def motif_groups(spark, sf_dir):
     return rhythm.motif_groups(rhythm.motif_ngrams(grids(spark, sf_dir)))
+
+
+@query(with_sql(NOTES_SQL) + """, g as (select perf, lead(t) over (partition by perf order by t, seq) - t as gap from notes)
+select perf, count(*) as n, round(quantile_cont(gap, 0.25), 6) as p25, round(quantile_cont(gap, 0.5), 6) as pulse, round(quantile_cont(gap, 0.75), 6) as p75 from g where gap > 0 group by perf""")
+def performance_pulses(spark, sf_dir):
+    """The median gap between the events of whole performances, and the quartiles beside it: exact, and no performance in one task."""
+    near = ordered.with_next(music.notes(spark, sf_dir), ["perf"], F.floor(F.col("t") / music.WINDOW).cast("int"), ["t", "seq"], "t", "next_t")
+    gaps = scratch.written(near.select("perf", (F.col("next_t") - F.col("t")).alias("gap")).where("gap > 0"), "gaps")
+    found = ranks.quantiles(gaps, ["perf"], "gap", {"p25": 0.25, "pulse": 0.5, "p75": 0.75}, linear=True)
+    return found.select("perf", "n", *[F.round(c, 6).alias(c) for c in ("p25", "pulse", "p75")])
