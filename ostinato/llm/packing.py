@@ -5,8 +5,9 @@ the fullest bin that has room. Underfull bins go up a tree as items, FAN_IN grou
 
 No bin that could still be merged stays behind. Two bins can only become one if one of them is at most half full, and after a
 best-fit round at most one bin of a group is (a second one would have fitted into it). So where FAN_IN groups meet there are at most
-FAN_IN bins to move, and a group sends that one together with its FAN_IN emptiest other bins: whichever of them takes a moved bin, the
-others are fuller and could not take more. So a task's rows are bounded by the fan-in, not by a cap.
+FAN_IN bins to move, and these come up by name. All other underfull bins stay in the table, at every level, and come up as a
+histogram: how many there are of each fill. That is all that best fit asks of them, and it is at most ``capacity`` numbers however many
+bins there are. The fills that it picks are then looked up, the first of their bins by number, and get their new fill.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ostinato.llm.common import as_texts, cut, map_arrow, require, small_batches
@@ -92,19 +93,59 @@ def _packed_windows(items: DataFrame, windows: int, capacity: int) -> DataFrame:
     return items.repartition(windows).mapInArrow(run, f"{schema}, window long, bin long, offset long, fill long")
 
 
+def merge_by_histogram(movers: list[tuple[int, int]], others: dict[int, int], capacity: int) -> list[tuple]:
+    """movers: (bin, fill) of bins that may move; others: how many other bins have each fill -> (bin, into, shift, of_fill, nth, fill) of each move.
+
+    Movers go by decreasing fill, each into the fullest bin with room. ``into`` is a mover, or null for the ``nth`` bin (from 0) of the others
+    that have ``of_fill``; ``shift`` is where the moved bin starts, and ``fill`` what the bin that takes it holds in the end.
+    """
+    left = np.zeros(capacity + 1, np.int64)
+    for f, n in others.items():
+        left[f] = n
+    fills = sum(1 << f for f, n in others.items() if n)  # bit f is set if some other bin of that fill is untouched
+    taken: dict[int, int] = {}
+    named: list[list] = []  # bins that are known by name: (fill now, mover or null, first fill, nth)
+    moves = []
+    for bin_, x in sorted(movers, key=lambda m: (-m[1], m[0])):
+        below = fills & ((1 << (capacity - x + 1)) - 1)
+        free = below.bit_length() - 1 if below else -1
+        known = max((b for b in named if b[0] + x <= capacity), key=lambda b: b[0], default=None)
+        if known is not None and known[0] >= free:
+            target = known
+        elif free >= 0:
+            target = [free, None, free, taken.get(free, 0)]
+            taken[free] = target[3] + 1
+            if taken[free] == left[free]:
+                fills &= ~(1 << free)
+            named.append(target)
+        else:
+            named.append([x, bin_, x, 0])
+            continue
+        moves.append((bin_, target, target[0]))
+        target[0] += x
+    return [(bin_, t[1], at, t[2] if t[1] is None else 0, t[3], t[0]) for bin_, t, at in moves]
+
+
 def _merge_round(bins: DataFrame, capacity: int) -> DataFrame:
-    """bins(grp, bin, fill) -> (bin, into, shift, grp, fill): best-fit of whole bins in each group; fill: of the bin they go into."""
+    """bins(grp, bin, fill), all that are underfull -> (bin, into, shift, fill): the moves of a best-fit round, and the fill of what takes them."""
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("fill", "descending"), ("bin", "ascending")])
-        ids = group.column("bin").to_numpy()
-        at, shift, fill = best_fit(group.column("fill").to_numpy(), capacity)
-        # A bin keeps the number of the first bin in it.
-        first = np.zeros(len(fill), np.int64)
-        first[at[shift == 0]] = ids[shift == 0]
-        return pa.table({"bin": ids, "into": first[at], "shift": shift, "grp": group.column("grp"), "fill": fill[at]})
-
-    return bins.groupBy("grp").applyInArrow(run, "bin long, into long, shift long, grp long, fill long")
+        rows = group.to_pylist()
+        moves = merge_by_histogram([(r["bin"], r["fill"]) for r in rows if r["bin"] is not None], {r["fill"]: r["n"] for r in rows if r["bin"] is None}, capacity)
+        grp = group.column("grp")[0].as_py()
+        columns = list(zip(*moves)) or [()] * 6
+        names = ("bin", "into", "shift", "of_fill", "nth", "fill")
+        return pa.table({"grp": pa.array([grp] * len(moves), pa.int64()), **{c: pa.array(x, pa.int64()) for c, x in zip(names, columns)}})
+
+    small = f"2 * fill <= {capacity}"
+    others = bins.where(f"not ({small})")
+    counted = others.groupBy("grp", "fill").agg(F.count("*").alias("n")).select("grp", F.lit(None).cast("long").alias("bin"), "fill", "n")
+    moves = bins.where(small).select("grp", "bin", "fill", F.lit(1).cast("long").alias("n")).unionByName(counted).groupBy("grp").applyInArrow(run, "grp long, bin long, into long, shift long, of_fill long, nth long, fill long")
+    moves = cut(moves, "moved")
+    # A group has at most FAN_IN movers, so that many bins of a fill at most are asked for.
+    ranked = others.withColumn("nth", F.row_number().over(_by(["grp", "fill"], "bin")).cast("long") - 1).where(f"nth < {FAN_IN}")
+    named = ranked.select("grp", F.col("fill").alias("of_fill"), "nth", F.col("bin").alias("named"))
+    return moves.join(named, ["grp", "of_fill", "nth"], "left").select("bin", F.coalesce("into", "named").alias("into"), "shift", "fill")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, window: int = WINDOW) -> DataFrame:
@@ -118,23 +159,23 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
     windows = max(1, -(-items.count() // window))
     packed = cut(_packed_windows(items, windows, capacity), "packed")
     moves = None
-    not_full = f"fill < {capacity}"
-    underfull = packed.where(f"offset = 0 and {not_full}").select(F.col("window").alias("grp"), "bin", "fill")
+    underfull = packed.where(f"offset = 0 and fill < {capacity}").select(F.col("window").alias("grp"), "bin", "fill")
     groups = windows
     while groups > 1:
         groups = -(-groups // FAN_IN)
-        # The emptiest bin is the one that may be at most half full; the FAN_IN next ones may take it or those of other groups.
-        emptiest = F.row_number().over(_by("grp", "fill", "bin"))
-        sent = underfull.withColumn("nth", emptiest).where(f"nth <= {FAN_IN + 1}").select(F.floor(F.col("grp") / FAN_IN).alias("grp"), "bin", "fill")
-        merged = cut(_merge_round(sent, capacity), "merged")
-        step = merged.select("bin", "into", "shift")
-        if moves is None:
-            moves = step
-        else:
-            then = step.select(F.col("bin").alias("then_bin"), F.col("into").alias("then_into"), F.col("shift").alias("then_shift"))
+        underfull = underfull.withColumn("grp", F.floor(F.col("grp") / FAN_IN))
+        step = cut(_merge_round(underfull, capacity), "merged")
+        then = step.select(F.col("bin").alias("then_bin"), F.col("into").alias("then_into"), F.col("shift").alias("then_shift"))
+        own = step.select("bin", "into", "shift")
+        if moves is not None:
             moved = moves.join(then, moves["into"] == then["then_bin"], "left")
-            moves = cut(moved.select("bin", F.coalesce("then_into", "into").alias("into"), (F.col("shift") + F.coalesce("then_shift", F.lit(0))).alias("shift")), "moves")
-        underfull = merged.where(f"shift = 0 and {not_full}").select("grp", "bin", "fill")
+            own = own.unionByName(moved.select("bin", F.coalesce("then_into", "into").alias("into"), (F.col("shift") + F.coalesce("then_shift", F.lit(0))).alias("shift")))
+        moves = cut(own, "moves")
+        if groups > 1:
+            # Bins that moved are gone; those that took some have their new fill.
+            grown = step.groupBy(F.col("into").alias("taker")).agg(F.max("fill").alias("grown"))
+            left = underfull.join(step.select(F.col("bin").alias("gone")), F.col("bin") == F.col("gone"), "left_anti").join(grown, F.col("bin") == F.col("taker"), "left")
+            underfull = cut(left.select("grp", "bin", F.coalesce("grown", "fill").alias("fill")).where(f"fill < {capacity}"), "underfull")
     if moves is None:
         out = packed.withColumn("sequence_id", F.col("bin"))
     else:
@@ -142,10 +183,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
     return out.select(*items.columns, "sequence_id", "offset")
 
 
-def _by(group: str, *order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(group).orderBy(*order)
+def _by(group: list[str], *order: str):
+    return Window.partitionBy(*group).orderBy(*order)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

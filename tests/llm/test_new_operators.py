@@ -11,8 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ostinato.llm import fill_middle, spelling, subspace
-from ostinato.llm.queries import ORACLES, QUERIES
+from ostinato.llm import fill_middle, packing, spelling, subspace
+from ostinato.llm.queries import ORACLES, QUERIES, tokenizer_path
 from ostinato.llm.wavelet import WaveletTree
 
 from .test_contracts import corpus
@@ -248,3 +248,52 @@ def test_shares_hold_every_near_pair():
         for i in np.flatnonzero(apart[:, k]):
             later = max(own[i], own[i + 500])
             assert (i, later) in touched and (i + 500, later) in touched
+
+
+# 5. Packing, its tree
+
+
+@pytest.mark.parametrize("windows", [9, 64, 70])
+def test_tree_merges_like_best_fit_of_all_leaf_bins(spark, windows):
+    """Two and three levels: nearly as many bins as one best-fit of all the windows' bins leaves, and no two left that would fit into one."""
+    rng = np.random.default_rng(windows)
+    rows = []
+    for w in range(windows):
+        _, _, fill = packing.best_fit(rng.integers(200, 1100, 14), 2048)
+        rows += [(w, (w << 32) + i, int(f)) for i, f in enumerate(fill)]
+    whole = packing.best_fit(np.array([r[2] for r in rows]), 2048)[2]
+    bins = {b: f for _, b, f in rows}
+    grp, groups = {b: g for g, b, _ in rows}, windows
+    while groups > 1:
+        groups = -(-groups // packing.FAN_IN)
+        grp = {b: g // packing.FAN_IN for b, g in grp.items()}
+        under = spark.createDataFrame([(grp[b], b, f) for b, f in bins.items() if f < 2048], "grp long, bin long, fill long")
+        for r in sorted(packing._merge_round(under, 2048).collect(), key=lambda r: (r["into"], r["shift"])):
+            assert r["shift"] == bins[r["into"]] and r["bin"] not in (r["into"],)
+            bins[r["into"]] += bins.pop(r["bin"])
+            assert bins[r["into"]] <= min(2048, r["fill"])
+    assert sum(bins.values()) == sum(whole.tolist()) and len(bins) <= 1.01 * len(whole) + 1
+    assert sum(sorted(bins.values())[:2]) > 2048
+
+
+def test_tree_over_documents(spark):
+    """Windows of ten pieces, so that the tree has levels: every sequence is whole, and there are few more than in one window."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts = []
+    for window in (10, 40_000):
+        got = packing.pack(docs, tokenizer_path("word_bpe_49k.json"), window=window).select("sequence_id", "offset", "length").collect()
+        ends = {}
+        for r in sorted(got):
+            assert r["offset"] == ends.get(r["sequence_id"], 0)
+            ends[r["sequence_id"]] = r["offset"] + r["length"]
+        assert max(ends.values()) <= 2048
+        counts.append(len(ends))
+    assert counts[0] <= 1.05 * counts[1]  # bins of ten pieces are coarse items
+
+
+def test_histogram_merge():
+    moves = packing.merge_by_histogram([(1, 900), (2, 30), (3, 1000)], {1030: 1, 1040: 1, 1150: 2}, 2048)
+    # 1000 goes to 1040, 900 to 1030, not to 1150 (2050), 30 to the fullest with room.
+    assert {(m[0], m[1], m[3], m[4], m[2]) for m in moves} == {(3, None, 1040, 0, 1040), (1, None, 1150 if 1150 + 900 <= 2048 else 1030, 0, 1030), (2, None, 1030, 0, 1930)}
+    assert packing.merge_by_histogram([(1, 500), (2, 600)], {}, 2048) == [(1, 2, 600, 0, 0, 1100)]
+    assert packing.merge_by_histogram([], {100: 3}, 2048) == []
