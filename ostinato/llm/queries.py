@@ -154,7 +154,7 @@ from placed where not (common and part = 'rejected')
 
 def _license_sql() -> str:
     quoted = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in licenses.TEMPLATES)
-    told, known = (", ".join(f"'{t}'" for t in licenses.template_terms(n)) for n in (licenses.TELLING, 1))
+    told, known = (", ".join(f"'{t}'" for t in n) for n in (licenses.telling_terms(), licenses.template_terms(1)))
     return (
         r"""
 with files as (
@@ -183,16 +183,18 @@ a as (select line, term, tf * idf as w from tf join idf using (term)),
 b as (select license, notice, term, tf * idf as v from own join idf using (term)),
 cosines as (
   select d.line, d.license, round(d.dot / (an.norm * bn.norm), 6) as cosine
-  from (select line, license, notice, sum(w * v) as dot from a join b using (term) group by line, license, notice) d
+  from (select line, license, notice, sum(w * v) as dot from a join b using (term) group by line, license, notice having bool_or(term in (""" + told + r"""))) d
   join (select line, sqrt(sum(w * w)) as norm from a group by line) an using (line)
   join (select license, notice, sqrt(sum(v * v)) as norm from b group by license, notice) bn using (license, notice)),
-best as (select line, license, cosine from cosines where cosine >= 0.5 qualify row_number() over (partition by line order by cosine desc, license) = 1),
+each as (select line, license, max(cosine) as cosine from cosines group by line, license),
+near as (select *, row_number() over (partition by line order by cosine desc, license desc) as rank, coalesce(lead(cosine) over (partition by line order by cosine desc, license desc), 0) as second from each),
+best as (select line, license, cosine from near where rank = 1 and cosine >= 0.5 and round(cosine - second, 6) >= 0.01),
 own_license as (
   select file_id, license as own_license, cosine from found join best using (line)
-  qualify row_number() over (partition by file_id order by cosine desc, license) = 1),
+  qualify row_number() over (partition by file_id order by cosine desc, length(license) desc, license) = 1),
 holders as (
   select directory, own_license as inherited_license from files join own_license using (file_id) where file_id % 20 = 0
-  qualify row_number() over (partition by directory order by cosine desc, own_license) = 1),
+  qualify row_number() over (partition by directory order by cosine desc, length(own_license) desc, own_license) = 1),
 inherited as (
   select d.directory, h.inherited_license, h.directory as inherited_from
   from (select distinct directory from files) d join holders h on d.directory = h.directory or starts_with(d.directory, h.directory || '/')

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ostinato.llm import fill_middle, packing, spelling, subspace
+from ostinato.llm import fill_middle, licenses, packing, spelling, subspace
 from ostinato.llm.queries import ORACLES, QUERIES, tokenizer_path
 from ostinato.llm.wavelet import WaveletTree
 
@@ -34,7 +34,7 @@ def bag(found):
     return Counter(map(tuple, found))
 
 
-@pytest.mark.parametrize("name", ["op11_spelling_variants", "op12_fill_in_middle", "op13_near_vectors"])
+@pytest.mark.parametrize("name", ["op6_license_scan", "op11_spelling_variants", "op12_fill_in_middle", "op13_near_vectors"])
 def test_whole_tables_against_sql(name, spark, sf_dir):
     con = duckdb.connect()
     for t in ("documents", "embeddings"):
@@ -297,3 +297,18 @@ def test_histogram_merge():
     assert {(m[0], m[1], m[3], m[4], m[2]) for m in moves} == {(3, None, 1040, 0, 1040), (1, None, 1150 if 1150 + 900 <= 2048 else 1030, 0, 1030), (2, None, 1030, 0, 1930)}
     assert packing.merge_by_histogram([(1, 500), (2, 600)], {}, 2048) == [(1, 2, 600, 0, 0, 1100)]
     assert packing.merge_by_histogram([], {100: 3}, 2048) == []
+
+
+# 6. License scans, short forms
+
+
+def test_titles_identifiers_and_close_calls(spark):
+    texts = {
+        "a.py": ("# SPDX-License-Identifier: MIT", "MIT"), "b.py": ("# MIT License", "MIT"), "c/LICENSE": ("MIT License", "MIT"), "d.c": ("GNU GPL v3", "GPL-3.0"), "e.c": ("License: BSD", "BSD"), "f/LICENSE": ("Mozilla Public License Version 2.0", "MPL-2.0"),
+        "g.go": ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), "h/LICENSE": ("Eclipse Public License Version 2.0", "EPL-2.0"), "i/COPYING": ("GNU AFFERO GENERAL PUBLIC LICENSE\n  Version 3", "AGPL-3.0"), "j.py": ("code\n# SPDX-License-Identifier: GPL-2.0\nmore", "GPL-2.0"),
+        "k.txt": ("people who want to modify the river are subject to conditions of their own", None), "l.txt": ("GNU General Public License", "GPL"),
+    }
+    for names in (list(texts), ["f/LICENSE"], ["a.py", "g.go"]):  # whatever other files there are
+        rows = [(i, n, texts[n][0]) for i, n in enumerate(names)]
+        got = {r["path"]: r["own_license"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+        assert got == {n: texts[n][1] for n in names}
