@@ -12,7 +12,7 @@ from ostinato.plans import reviews
 from ostinato.plans.harmony import _CHORDS, _NAMES, timeline
 from ostinato.plans.records import _SMALL_VECTOR, _STATES, _TAGS, states, vectors
 from ostinato.plans.rhythm import BINNED, PULSES, WINDOWED, in_bins, in_windows
-from ostinato.sources import music
+from ostinato.sources import json_walk, music
 from ostinato.sources.music import NOTES_SQL, PERFS_SQL, WINDOWS_SQL, with_sql
 
 QUERIES, ORACLES = {}, {}
@@ -290,11 +290,12 @@ def batch_consistency(spark, sf_dir):
     return both.select("batch", F.round(total, 2).alias("parts"), "stored", (F.abs(total - F.col("stored")) <= 0.01).alias("consistent"))
 
 
-@query("""select v as policy, count(*) as n from (select unnest(regexp_extract_all(props, '"k"\\s*:\\s*"?([^",}]*)', 1)) as v from events) group by v""")
+@query("""with d as (select '{"own": ' || props || ', "list": [' || props || ', {"deep": {"k": "text ' || event_type || '"}}, {"k": null}], "note": "\\"k\\": 99"}' as doc from events)
+select t.atom ->> '$' as policy, count(*) as n from d, json_tree(d.doc) t where t.key = 'k' and t.atom is not null and json_type(t.atom) <> 'NULL' group by 1""")
 def policy_counts(spark, sf_dir):
-    """How often each value stands under a key, at whatever depth of the JSON text."""
-    found = F.regexp_extract_all("props", F.lit('"k"\\s*:\\s*"?([^",}]*)'), F.lit(1))
-    return music.table(spark, sf_dir, "events").select(F.explode(found).alias("policy")).groupBy("policy").agg(F.count("*").alias("n"))
+    """How often each value stands under a key, at whatever depth of nested JSON; a key inside a text is none."""
+    doc = F.concat(F.lit('{"own": '), "props", F.lit(', "list": ['), "props", F.lit(', {"deep": {"k": "text '), "event_type", F.lit('"}}, {"k": null}], "note": "\\"k\\": 99"}'))
+    return json_walk.counts_under(music.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), doc.alias("doc")), "doc", "k")
 
 
 @query("""with g as (select o_custkey as g, o_orderkey as w, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as pos from orders),

@@ -77,7 +77,7 @@ def _number(data: bytes, at: int) -> tuple[int, int]:
 
 
 def midi_messages(data: bytes) -> Iterator[tuple[int, int, int, str, int, int, int]]:
-    """(track, seq, tick, kind, channel, a, b) of a standard MIDI file; kinds: on, off, tempo. Broken files end where they break."""
+    """(track, seq, tick, kind, channel, a, b) of a standard MIDI file; kinds: on, off, tempo, bend (a: its amount). Broken files end where they break."""
     if data[:4] != b"MThd":
         return
     at, track = 8 + struct.unpack(">I", data[4:8])[0], 0
@@ -110,6 +110,9 @@ def midi_messages(data: bytes) -> Iterator[tuple[int, int, int, str, int, int, i
                         if status >> 4 in (0x8, 0x9):
                             yield track, seq, tick, "on" if status >> 4 == 9 and b else "off", status & 15, a, b
                             seq += 1
+                        elif status >> 4 == 0xE:
+                            yield track, seq, tick, "bend", status & 15, (a | b << 7) - 8192, 0
+                            seq += 1
             except IndexError:
                 pass
             track += 1
