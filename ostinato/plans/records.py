@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ostinato.functions.scalars import clamp01, mean6
-from ostinato.operators import intervals, ordered, ranks, records, rhythm
+from ostinato.operators import intervals, ordered, ranks, records, rhythm, targets
 from ostinato.plans import events as event_plans
 from ostinato.plans.events import _METRICS, _RELIABLE
 from ostinato.plans.harmony import _CHORDS, timeline
@@ -468,13 +468,26 @@ def salvage_topk(spark, sf_dir):
     return top.select("perf", "context_idx", "final_score", F.round(F.lit(0.6) - F.col("final_score"), 6).alias("missing"))
 
 
-@query(with_sql(*BINNED[:-1]) + "select perf, idx, string_agg(note % 12, ' ' order by t, seq) as pitch_tokens, string_agg(case when vel >= 96 then 'A' when vel >= 48 then 'm' else 's' end, '' order by t, seq) as accent_tokens from located group by perf, idx")
+_TARGETS = f"""placed as (select channel % 8 as part, floor(start / {music.BIN})::bigint as idx, floor(start / {music.BIN}) * {music.BIN} as lo, start, "end", channel, note, vel from pairs),
+kept as (select *, row_number() over w as k, start - lag(start) over w as ioi, lag(note) over w as prior from placed window w as (partition by part, idx order by start, channel, note, "end") qualify row_number() over w <= 128),
+texts as (select *, 'on_' || (floor(greatest(0, start - lo) * 1000 + 0.5) / 1000)::varchar || '_dur_' || (floor(greatest(1e-4::double, "end" - start) * 1000 + 0.5) / 1000)::varchar as played, 'ioi_' || (floor(greatest(0, ioi) * 1000 + 0.5) / 1000)::varchar as step from kept),
+tok as (select part, idx, greatest(1, 2 * k - 2) as pos, played as token from texts union all select part, idx, 2 * k - 1, step from texts where k > 1),
+rhythms as (select part, idx, string_agg(token, ' ' order by pos) filter (where pos <= 128) as rhythm_tokens, round(count(distinct case when pos <= 32 then token end) / 32.0::double, 6) as humanization from tok group by all),
+classes as (select part, idx, string_agg('pc' || pc, ' ' order by n desc, place) as chord_tokens from (select part, idx, note % 12 as pc, count(*) as n, min(k) as place from kept group by part, idx, note % 12 qualify row_number() over (partition by part, idx order by count(*) desc, min(k)) <= 6) group by all),
+profiles as (select part, idx, count(*) as n, string_agg('n' || note, ' ' order by k) as pitch_tokens, coalesce(string_agg(case when note > prior then 'up' when note < prior then 'down' when note = prior then 'same' end, ' ' order by k), '') as contour_tokens,
+  round(sum(vel)::double / count(*), 6) as vel_mean, max(vel) as vel_max, min(vel) as vel_min from kept group by all),
+edges as (select part, idx, string_agg('n' || note, ' ' order by k) filter (where k <= 16) as first_notes, string_agg('n' || note, ' ' order by k) filter (where k > size - 16) as last_notes from (select *, count(*) over (partition by part, idx) as size from kept) group by all)"""
+
+
+@query(with_sql(music.NOTES_SQL, event_plans._MESSAGES, event_plans._PAIRS, _TARGETS) + f"""select part, idx, n::int as n, rhythm_tokens, pitch_tokens, contour_tokens, chord_tokens, first_notes, last_notes, vel_mean, vel_max, vel_min, humanization, round((n - 1) / (2 * n - 1)::double, 6) as swing,
+case when n / {music.BIN} < 0.08 then 0.1 when n / {music.BIN} < 0.25 then 0.35 when n / {music.BIN} < 1 then 0.65 when n / {music.BIN} < 4 then 0.85 else 0.75 end::double as density_score, round(least(1, n / {music.BIN}::double / 7.0::double), 6) as polyphony
+from profiles join rhythms using (part, idx) join classes using (part, idx) join edges using (part, idx)""")
 def target_tokens(spark, sf_dir):
-    """The notes of each bin as tokens in order."""
-    listed = F.array_sort(F.collect_list(F.struct("t", "seq", "note", "vel")))
-    rows = in_bins(spark, sf_dir).groupBy("perf", "idx").agg(listed.alias("x"))
-    loud = lambda v: F.when(v >= 96, "A").when(v >= 48, "m").otherwise("s")
-    return rows.select("perf", "idx", F.array_join(F.transform("x", lambda e: F.pmod(e["note"], F.lit(12)).cast("string")), " ").alias("pitch_tokens"), F.array_join(F.transform("x", lambda e: loud(e["vel"])), "").alias("accent_tokens"))
+    """Paired notes of each bin of four seconds, channels in eight parts, as tokens: the first 128 of a bin."""
+    paired = event_plans.events.pair_on_off(event_plans.messages(spark, sf_dir))
+    idx = F.floor(F.col("start") / music.BIN)
+    placed = paired.select((F.col("channel") % 8).alias("part"), idx.alias("idx"), (idx * music.BIN).alias("lo"), ((idx + 1) * music.BIN).alias("hi"), "start", "end", "channel", "note", "vel")
+    return targets.tokens(placed, ["part", "idx"])
 
 
 @query(with_sql(*_RECORD_CTES, _SPLITS) + """, v as (select perf, idx, 'confidence out of range' as violation from splits where confidence < 0 or confidence > 1 union all select perf, idx, 'accepted without reliability' from splits where export_split = 'accepted_records' and tier in ('low', 'failed', 'missing')

@@ -1,7 +1,7 @@
 """All queries by name, with their SQL."""
 
-from ostinato.plans import corpus, events, generation, granularities, harmony, records, reviews, rhythm, selections, validators
+from ostinato.plans import corpus, events, generation, granularities, harmony, records, reviews, rhythm, runs, selections, validators
 
-_MODULES = (rhythm, harmony, events, records, corpus, reviews, selections, generation, granularities, validators)
+_MODULES = (rhythm, harmony, events, records, corpus, reviews, selections, generation, granularities, validators, runs)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
