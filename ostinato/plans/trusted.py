@@ -27,11 +27,10 @@ def query(sql: str | None = None):
 def exported(spark, sf_dir) -> DataFrame:
     """Records of all regions with events; the tables have no faulty ones, so faults are planted by the numbers of notes.
 
-    A performance is quarantined if more than a sixth of its windows aren't of a high or medium tier.
+    A performance is quarantined if its windows have an odd number of notes: a planted fault, too.
     """
-    windows = reliable_windows(spark, sf_dir).select("perf", F.concat_ws(":", "perf", "idx").alias("window_id"), "tier", "score", "weight")
-    unsure = F.count_if(~F.col("tier").isin(*trust.TRUSTED)) * 6 > F.count("*")
-    gates = windows.groupBy(F.col("perf").alias("performance_id")).agg(F.when(unsure, "quarantined").otherwise("accepted").alias("gate_status"))
+    windows = reliable_windows(spark, sf_dir).select("perf", F.concat_ws(":", "perf", "idx").alias("window_id"), "notes", "tier", "score", "weight")
+    gates = windows.groupBy(F.col("perf").alias("performance_id")).agg(F.when(F.sum("notes") % 2 == 1, "quarantined").otherwise("accepted").alias("gate_status"))
     n, idx = F.col("notes"), F.col("idx")
     every = lambda k, value: F.when(n % k != 0, value)
     own_window = F.when(F.col("kind").isin("window", "bin"), F.concat_ws(":", "perf", F.floor(F.col("lo") / music.WINDOW)))
@@ -41,10 +40,10 @@ def exported(spark, sf_dir) -> DataFrame:
         F.col("lo").alias("start_seconds"), every(17, F.col("hi")).alias("end_seconds"), every(19, F.col("kind")).alias("source_artifact_paths"), every(23, F.lit("1")).alias("feature_version"),
         own_window.alias("window_id"), F.col("kind").alias("granularity"), label.alias("label_status"), F.col("state_confidence").alias("confidence"),
     )
-    return trust.classified(rows, windows.drop("perf"), gates)
+    return trust.classified(rows, windows.drop("perf", "notes"), gates)
 
 
-_EXPORTED = f"""gate as (select perf, count(case when tier not in ('high', 'medium') then 1 end) * 6 > count(*) as barred from weighted group by perf),
+_EXPORTED = f"""gate as (select perf, sum(notes) % 2 = 1 as barred from weighted group by perf),
 recs as (select s.perf, s.kind, s.idx, s.perf || ':' || s.kind || ':' || s.idx as region, state_confidence as confidence,
   case when s.idx % 11 = 3 then 'human_verified_label' when s.idx % 3 = 0 then 'weak_label' when s.idx % 5 = 0 then 'unlabelled' when s.idx % 7 <> 0 then 'derived_observation' else 'weak_label' end as label,
   concat_ws('; ', case when s.notes % 13 = 0 then 'missing record_id' end, case when s.notes % 29 = 0 then 'missing performance_id' end, case when s.notes % 17 = 0 then 'invalid time range' end, case when s.notes % 19 = 0 then 'missing source_artifact_paths' end, case when s.notes % 23 = 0 then 'missing feature_version' end) as faults,
