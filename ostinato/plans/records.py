@@ -168,7 +168,7 @@ def ai_record_rows(spark, sf_dir):
     tiers = event_plans.reliable_windows(spark, sf_dir).select("perf", F.col("idx").alias("window"), "tier", "score", "weight")
     joined = bins.drop("score").join(best, ["perf", "idx"]).join(tiers, ["perf", "window"], "left")
     status = F.when(F.col("idx") % 11 == 0, "human_verified_label").when(F.col("idx") % 3 == 0, "weak_label").when(F.col("idx") % 5 == 0, "review_required").otherwise("derived_observation")
-    return joined.select("perf", "idx", "window", F.coalesce("tier", F.lit("low")).alias("tier"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("weight", F.lit(0.0)).alias("weight"), "content_state", F.col("confidence"), status.alias("label_status"), (F.col("notes") > 2).alias("whole"), "notes", "rhythm", "harmony", "margin")
+    return joined.select("perf", "idx", "window", F.coalesce("tier", F.lit("low")).alias("tier"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("weight", F.lit(0.0)).alias("weight"), "content_state", F.col("confidence"), status.alias("label_status"), (F.col("notes") > 2).alias("whole"), "notes", "rhythm", "harmony", "margin", "chord", "classes")
 
 
 _WINDOW_TIERS = _METRICS[3].replace("located as", "wlocated as").replace("b.idx", "b.idx"), _METRICS[4].replace("gaps as", "wgaps as").replace("from located", "from wlocated"), _METRICS[5].replace("from gaps", "from wgaps")
@@ -176,7 +176,7 @@ _RECORDS = """matched as (select b.perf, b.idx, w.idx as "window" from states b
   qualify row_number() over (partition by b.perf, b.idx order by greatest(0, least(b.hi, w.hi) - greatest(b.lo, w.lo)) desc, w.idx) = 1),
 records as (select s.perf, s.idx, m."window", coalesce(t.tier, 'low') as tier, coalesce(t.score, 0) as score, coalesce(t.weight, 0) as weight, content_state, confidence,
   case when s.idx % 11 = 0 then 'human_verified_label' when s.idx % 3 = 0 then 'weak_label' when s.idx % 5 = 0 then 'review_required' else 'derived_observation' end as label_status,
-  s.notes > 2 as whole, s.notes, rhythm, harmony, greatest(0, least(1, ranked[1] - ranked[2])) as margin
+  s.notes > 2 as whole, s.notes, rhythm, harmony, greatest(0, least(1, ranked[1] - ranked[2])) as margin, chord, classes
   from states s join matched m using (perf, idx) left join weighted t on t.perf = s.perf and t.idx = m."window")"""
 _RECORD_CTES = [*_STATES, WINDOWS_SQL, *_WINDOW_TIERS, _RELIABLE, _RECORDS]
 
@@ -302,6 +302,15 @@ def export_summary(spark, sf_dir):
     return records.export_splits(ai_record_rows(spark, sf_dir)).agg(F.count_distinct("perf").alias("performances"), n.alias("records"), accepted.alias("accepted"), F.round(100 * accepted / n, 6).alias("accepted_pct"), F.round(F.sum("training_weight"), 4).alias("weight"))
 
 
+def upgraded(weak: DataFrame) -> DataFrame:
+    """Records with the family of their label, in turn rhythm and harmony, and what becomes of it."""
+    family = F.when(F.col("idx") % 2 == 0, "rhythm").otherwise("harmony")
+    state = F.col("content_state")
+    weak = weak.withColumn("family", family).withColumn("ambiguity", F.round(1 - F.col("margin"), 6)).withColumn("has_evidence", F.col("notes") > 4)
+    weak = weak.withColumn("supported", F.when(F.col("family") == "rhythm", state.isin("rhythm_dominant", "percussive_only", "polyphonic_full_mix")).otherwise(state.isin("harmonic_dominant", "polyphonic_full_mix", "melodic_lead")))
+    return records.label_upgrades(weak)
+
+
 _UPGRADES = """u as (select *, case when idx % 2 = 0 then 'rhythm' else 'harmony' end as family, round(1 - margin, 6) as ambiguity from records where label_status in ('weak_label', 'review_required')),
 w as (select *, case when family = 'rhythm' then content_state in ('rhythm_dominant', 'percussive_only', 'polyphonic_full_mix') else content_state in ('harmonic_dominant', 'polyphonic_full_mix', 'melodic_lead') end as supported from u)"""
 
@@ -311,26 +320,26 @@ w as (select *, case when family = 'rhythm' then content_state in ('rhythm_domin
   when not supported then 'downgrade_candidate' when not notes > 4 then 'downgrade_candidate' when confidence < 0.4 or score < 0.45 then 'downgrade_candidate' else 'keep_weak' end as recommendation from w""")
 def label_upgrades(spark, sf_dir):
     weak = ai_record_rows(spark, sf_dir).where(F.col("label_status").isin("weak_label", "review_required"))
-    family = F.when(F.col("idx") % 2 == 0, "rhythm").otherwise("harmony")
-    state = F.col("content_state")
-    weak = weak.withColumn("family", family).withColumn("ambiguity", F.round(1 - F.col("margin"), 6)).withColumn("has_evidence", F.col("notes") > 4)
-    weak = weak.withColumn("supported", F.when(F.col("family") == "rhythm", state.isin("rhythm_dominant", "percussive_only", "polyphonic_full_mix")).otherwise(state.isin("harmonic_dominant", "polyphonic_full_mix", "melodic_lead")))
-    return records.label_upgrades(weak).select("perf", "idx", "family", "recommendation")
+    return upgraded(weak).select("perf", "idx", "family", "recommendation")
 
 
-@query(with_sql(*_RECORD_CTES) + """, g as (select perf, count(*) as n, avg(score) as score, count(case when tier = 'failed' then 1 end) as failed, count(case when content_state = 'unknown' then 1 end) as unknown from records group by perf),
-gates as (select perf, 'has_records' as gate, n > 0 as passed, true as critical from g union all select perf, 'mean_reliability', score >= 0.55, false from g union all select perf, 'failed_share', failed / n::double <= 0.2, true from g union all select perf, 'unknown_share', unknown / n::double <= 0.5, false from g)
-select perf, count(case when passed then 1 end) as passed, count(case when not passed then 1 end) as failed, case when bool_or(not passed and critical) then 'quarantined' when bool_or(not passed) then 'review_required' else 'accepted' end as status from gates group by perf""")
-def quality_gates(spark, sf_dir):
-    """One row per gate, then a verdict: a failed critical gate quarantines the performance."""
+def gate_statuses(rows: DataFrame) -> DataFrame:
     n = F.count("*")
-    g = ai_record_rows(spark, sf_dir).groupBy("perf").agg(n.alias("n"), F.avg("score").alias("score"), F.count_if(F.col("tier") == "failed").alias("failed"), F.count_if(F.col("content_state") == "unknown").alias("unknown"))
+    g = rows.groupBy("perf").agg(n.alias("n"), F.avg("score").alias("score"), F.count_if(F.col("tier") == "failed").alias("failed"), F.count_if(F.col("content_state") == "unknown").alias("unknown"))
     gate = lambda name, passed, critical: F.struct(F.lit(name).alias("gate"), passed.alias("passed"), F.lit(critical).alias("critical"))
     gates = g.select("perf", F.explode(F.array(gate("has_records", F.col("n") > 0, True), gate("mean_reliability", F.col("score") >= 0.55, False), gate("failed_share", F.col("failed") / F.col("n") <= 0.2, True), gate("unknown_share", F.col("unknown") / F.col("n") <= 0.5, False))).alias("g")).select("perf", "g.*")
     verdict = F.when(F.bool_or(~F.col("passed") & F.col("critical")), "quarantined").when(F.bool_or(~F.col("passed")), "review_required").otherwise("accepted")
     return gates.groupBy("perf").agg(F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"), verdict.alias("status"))
 
 
+@query(with_sql(*_RECORD_CTES) + """, g as (select perf, count(*) as n, avg(score) as score, count(case when tier = 'failed' then 1 end) as failed, count(case when content_state = 'unknown' then 1 end) as unknown from records group by perf),
+gates as (select perf, 'has_records' as gate, n > 0 as passed, true as critical from g union all select perf, 'mean_reliability', score >= 0.55, false from g union all select perf, 'failed_share', failed / n::double <= 0.2, true from g union all select perf, 'unknown_share', unknown / n::double <= 0.5, false from g)
+select perf, count(case when passed then 1 end) as passed, count(case when not passed then 1 end) as failed, case when bool_or(not passed and critical) then 'quarantined' when bool_or(not passed) then 'review_required' else 'accepted' end as status from gates group by perf""")
+def quality_gates(spark, sf_dir):
+    """One row per gate, then a verdict: a failed critical gate quarantines the performance."""
+    return gate_statuses(ai_record_rows(spark, sf_dir))
+
+
 def pair_task() -> Column:
     """What kind of example a pair of neighbours is."""
     a, b = F.col("context_notes"), F.col("target_notes")
