@@ -13,7 +13,7 @@ from ostinato.plans import rhythm as rhythm_plans
 from ostinato.plans.corpus import _MOTIF_CTES
 from ostinato.plans.granularities import _ALL_STATES, content_regions
 from ostinato.plans.rhythm import in_windows
-from ostinato.sources import music, scratch
+from ostinato.sources import ingest, music, scratch
 from ostinato.sources.music import table, with_sql
 
 QUERIES, ORACLES = {}, {}
@@ -167,3 +167,15 @@ def window_tags(spark, sf_dir):
     found = records.tagged(record_plans.vectors(spark, sf_dir))
     t = found.select(F.concat_ws(":", "perf", "idx", "tag").alias("seq"), named, F.lit("window").alias("granularity"), F.when(F.col("idx") % 5 != 4, F.col("idx") * music.WINDOW).alias("lo"), ((F.col("idx") + 1) * music.WINDOW).alias("hi"), "tag", F.col("tag_confidence").alias("sure"))
     return keyed_tags.top_tags(scratch.written(w, "named"), scratch.written(t, "tags"), music.WINDOW)
+
+
+@query(r"""with p as (select url as path, min(html) as html from pages where url is not null group by url), n as (select *, regexp_extract(path, '[^/]*$', 0) as name from p where path not in (select url from pages where page_id % 10 = 0 and url is not null)),
+s as (select *, regexp_replace(regexp_replace(regexp_replace(name, '(.)\.[^.]*$', '\1'), '[^a-zA-Z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g') as stem from n)
+select path as source_path, name as source_name, '20240101T000000000000_' || stem || case when row_number() over (partition by stem order by path) > 1 then '_' || substr(sha256(path), 1, 8) else '' end as performance_id, sha256(html) as checksum, 'ingested' as status, 6 as pending from s""")
+def ingest_manifests(spark, sf_dir):
+    """Stand-ins, inputs only: pages are files by their address, each tenth is in the log already."""
+    pages = table(spark, sf_dir, "pages").where("url is not null")
+    found = pages.groupBy(F.col("url").alias("path")).agg(F.sha2(F.min("html"), 256).alias("checksum")).withColumn("duration_seconds", F.lit(None).cast("double"))
+    known = pages.where("page_id % 10 = 0").select(F.col("url").alias("source_path"))
+    rows = ingest.manifests(found, known, F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return rows.select("source_path", "source_name", "performance_id", "checksum", "status", F.size(F.filter("steps", lambda x: x["status"] == "pending")).alias("pending"))

@@ -26,7 +26,7 @@ def tumbling_rhythm(events: DataFrame, width: str = "4 hours", late: str = "1 da
 
 
 def sessions(events: DataFrame, gap: str = "2 hours", late: str = "1 day") -> DataFrame:
-    """Chains of events whose gaps stay under ``gap``: the streaming form of fusing near duplicates."""
+    """Chains of events whose gaps don't exceed ``gap``: the streaming form of fusing near duplicates."""
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), F.col("event_type").alias("perf")).agg(F.count("*").alias("n")).select("perf", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
