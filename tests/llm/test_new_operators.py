@@ -312,3 +312,55 @@ def test_titles_identifiers_and_close_calls(spark):
         rows = [(i, n, texts[n][0]) for i, n in enumerate(names)]
         got = {r["path"]: r["own_license"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
         assert got == {n: texts[n][1] for n in names}
+
+
+def plain_licenses(texts):
+    """Every unit against every template, without any bound. The texts have no blank lines and aren't license files."""
+    terms = lambda x: Counter(re.findall("[a-z0-9]+", x.lower()))
+    telling, known = set(licenses.telling_terms()), set(licenses.template_terms(1))
+    units = [{x.strip(" ") for x in (*t.split("\n"), t)} for t in texts]
+    counts = lambda u: len(u.keys() & telling) >= 2 and 10 * len(u.keys() & known) >= len(u)
+    counted = [terms(x) for own in units for x in own if counts(terms(x))] + [terms(b) for _, b in licenses.TEMPLATES]
+    df = Counter(t for c in counted for t in c)
+    weighed = lambda c: {t: n * (np.log((1 + len(counted)) / (1 + df[t])) + 1) for t, n in c.items()}
+    length = lambda w: sum(x * x for x in w.values()) ** 0.5
+    out = []
+    for own in units:
+        found = []
+        for w in (weighed(terms(x)) for x in own):
+            best = Counter()
+            for name, v in ((a, weighed(terms(b))) for a, b in licenses.TEMPLATES):
+                if w.keys() & v.keys() & telling:
+                    best[name] = max(best[name], round(sum(w[t] * v[t] for t in w.keys() & v.keys()) / length(w) / length(v), 6))
+            (one, name), (two, _) = sorted([*((c, n) for n, c in best.items()), (0, ""), (0, "")], reverse=True)[:2]
+            if one >= 0.5 and round(one - two, 6) >= 0.01:
+                found.append((-one, -len(name), name))
+        out.append((min(found)[2], -min(found)[0]) if found else (None, None))
+    return out
+
+
+def test_every_unit_that_reaches_the_threshold(spark):
+    """Also one telling term alone, and a notice that repeats among many other words."""
+    rng = random.Random(5)
+    short = ["MIT", "# Unlicense", "Apache", "GPL-3", "code\n// lgpl v3\nmore", "Mozilla", "mit " * 30 + " ".join(f"word{i}" for i in range(12)), "MIT License " * 40 + " ".join(f"x{i}" for i in range(60)), "nothing", ""]
+    words = [*licenses.template_terms(1), *[f"other{i}" for i in range(20)]]
+    texts = short + ["\n".join(" ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 3, 8]))) for _ in range(2)) for _ in range(150)]
+    rows = [(i, f"{i}.txt", t) for i, t in enumerate(texts)]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    expected = plain_licenses(texts)
+    got = {r["file_id"]: (r["own_license"], r["cosine"]) for r in licenses.scan_licenses(files).collect()}
+    assert [got[i][0] for i in range(len(texts))] == [e[0] for e in expected]
+    assert all(got[i][1] == pytest.approx(e[1], abs=2e-6) for i, e in enumerate(expected) if e[0])
+    assert [got[i][0] for i in (0, 1, 2, 6, 7)] == ["MIT", "Unlicense", "Apache", "MIT", "MIT"]
+    gated = {r["file_id"]: r["own_license"] for r in licenses.scan_licenses(files, only_counted=True).collect()}
+    assert gated[0] is None and gated[6] is None and sum(x is not None for x in gated.values()) < sum(x[0] is not None for x in expected)
+
+
+def test_whole_scan_against_sql(spark, sf_dir):
+    """The tables hold prose that reaches the threshold without counting."""
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{sf_dir}/documents.parquet')")
+    expected = con.sql(ORACLES["license_scan_whole"])
+    found = QUERIES["license_scan_whole"](spark, sf_dir)
+    assert bag(found.select(*expected.columns).collect()) == bag(expected.fetchall())
+    assert bag(found.collect()) != bag(QUERIES["op6_license_scan"](spark, sf_dir).collect())
