@@ -19,7 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -38,15 +38,15 @@ POWER, PRIOR_VOTES, FLOOR = 4, 0.02, 0.05
 #: Rows of the rarer label at which the examples' own votes correct a vote share half way.
 TRUSTED_ROWS = 100
 _WORDS = re.compile(r"[^\W\d_]+").findall
-
-
-def word_terms(word: str) -> list[str]:
-    """The terms of a word: itself, and as ``beginning~`` its beginnings."""
-    return [word, *[word[:size] + "~" for size in PREFIXES if len(word) > size]]
+#: Texts whose terms are hashed in one go.
+HASHED = 16
+#: A polynomial's base modulo 2**64, and what sets a beginning's hash apart from that of a word.
+_BASE, _BEGINNING = 0x9E3779B97F4A7C15, np.uint64(0xD1B54A32D192ED03)
+_KEPT_POWERS = 1 << 20
 
 
 def text_counts(text: str) -> dict[str, int]:
-    """How often each term of a text occurs in it. The terms of a word are made once, however often it occurs."""
+    """How often each term of a text occurs in it. A word's terms are itself, and as ``beginning~`` its beginnings."""
     words = Counter(_WORDS(text.lower()))
     counts = dict(words)
     for word, n in words.items():
@@ -58,16 +58,73 @@ def text_counts(text: str) -> dict[str, int]:
     return counts
 
 
-class Vocabulary:
-    """Which of a text's terms are in the index, and how often."""
+@cache
+def _letters() -> np.ndarray:
+    """For each code point, whether it can be in a word."""
+    out = np.zeros(0x110000, bool)
+    out[[ord(c) for c in "".join(_WORDS("".join(map(chr, range(0x110000)))))]] = True
+    return out
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n - 1 of the base and of its inverse."""
+    return tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, b, np.uint64)]) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+@cache
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_KEPT_POWERS)
 
-    def __init__(self, terms: list[str]):
-        self.number = {t: i for i, t in enumerate(terms)}
 
-    def arrays(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """(term numbers, -1 for those that aren't in the index; counts)."""
-        get = self.number.get
-        return np.array([get(t, -1) for t in counts], np.int64), np.fromiter(counts.values(), np.float64, len(counts))
+def _words_and_beginnings(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the words of lower-case texts and then of the words' beginnings of each size: (hashes, where each text's begin)."""
+    codes = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    powers, inverse = _kept_powers() if len(codes) <= _KEPT_POWERS else _powers(len(codes))
+    letter = _letters()[codes]
+    edges = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.empty(len(codes) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(codes * inverse[: len(codes)], out=sums[1:])
+    begins = np.cumsum([1, *[len(t) + 1 for t in texts]])
+    yield (sums[ends] - sums[starts]) * powers[starts], np.searchsorted(starts, begins)
+    for size in PREFIXES:
+        starts, ends = (x[ends - starts > size] for x in (starts, ends))
+        yield (sums[starts + size] - sums[starts]) * powers[starts] ^ _BEGINNING, np.searchsorted(starts, begins)
+
+
+def term_hashes(texts: list[str]) -> list[np.ndarray]:
+    """64-bit hashes of each text's terms, repeats included, in no particular order."""
+    parts = list(_words_and_beginnings([t.lower() for t in texts]))
+    return [np.concatenate([h[at[i] : at[i + 1]] for h, at in parts]) for i in range(len(texts))]
+
+
+class TermCounter:
+    """Counts terms by their hashes, without a string for each. Two of all terms share a hash by a chance of one in 2**64."""
+
+    def __init__(self, terms: list[str]):
+        hashes = next(_words_and_beginnings([t.rstrip("~") for t in terms]))[0] ^ np.where([t.endswith("~") for t in terms], _BEGINNING, np.uint64(0))
+        self.numbers = np.argsort(hashes)
+        self.hashes = hashes[self.numbers]
+        if (self.hashes[1:] == self.hashes[:-1]).any():
+            raise ValueError("two terms of the index have the same hash")
+
+    def counts(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(term numbers, -1 for those that aren't in the index; counts), in an order that the hashes give. Sorts ``hashes``."""
+        hashes.sort()
+        first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]][: len(hashes)])
+        keys, tf = hashes[first], np.diff(np.r_[first, len(hashes)])
+        if not len(self.hashes):
+            return np.full(len(keys), -1), tf
+        at = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == keys, self.numbers[at], -1), tf
+
+    def arrays(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(term numbers, counts) of each text."""
+        for start in range(0, len(texts), HASHED):
+            for hashes in term_hashes(texts[start : start + HASHED]):
+                number, tf = self.counts(hashes)
+                yield number, tf.astype(np.float64)
 
 
 def divergence(tf: np.ndarray, expected: np.ndarray) -> np.ndarray:
@@ -164,7 +221,7 @@ class Postings:
 class Index:
     """The examples' postings over all of their terms, and what weighs a text's terms."""
 
-    vocabulary: Vocabulary
+    terms: list[str]
     share: np.ndarray
     factor: np.ndarray
     corpus_terms: int
@@ -197,9 +254,9 @@ class Index:
                 out.append((float((weight @ self.labels[at] + self.prior * PRIOR_VOTES) / (weight.sum() + PRIOR_VOTES)), at, near))
         return out
 
-    def scores(self, texts: list[str]) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        """(score, nearest examples, cosines) of each text."""
-        votes = self.votes([self.vocabulary.arrays(text_counts(t)) for t in texts])
+    def scores(self, texts: list[str], counter: TermCounter | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """(score, nearest examples, cosines) of each text; ``counter``: of this index's terms."""
+        votes = self.votes(list((counter or TermCounter(self.terms)).arrays(texts)))
         return [(float(np.clip(np.interp(raw, *self.curve), 0, 1)), at, near) for raw, at, near in votes]
 
 
@@ -230,17 +287,13 @@ def corpus_counts(docs: DataFrame, terms: list[str], text_col: str) -> tuple[np.
     """How often each term occurs in all documents, and how many terms there are in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, found, n = {t: i for i, t in enumerate(terms)}, [0] * len(terms), 0
+        counter, found, n = TermCounter(terms), np.zeros(len(terms), np.int64), 0
         for batch in batches:
-            # A word's terms are made once a batch, however often it occurs.
-            words = Counter(chain.from_iterable(_WORDS(t.lower()) for t in as_texts(batch.column(0))))
-            for word, times in words.items():
-                terms_of = word_terms(word)
-                n += times * len(terms_of)
-                for t in terms_of:
-                    if t in vocabulary:
-                        found[vocabulary[t]] += times
-        found = np.array(found, np.int64)
+            texts = as_texts(batch.column(0))
+            hashes = np.concatenate([h for start in range(0, len(texts), HASHED) for h in term_hashes(texts[start : start + HASHED])] or [np.empty(0, np.uint64)])
+            n += len(hashes)
+            number, times = counter.counts(hashes)
+            found[number[number >= 0]] += times[number >= 0]
         some = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1], pa.int32()), pa.array(np.r_[found[some], n], pa.int64())], ["term", "n"])
 
@@ -259,10 +312,9 @@ def label_counts(labelled: DataFrame, terms: list[str]) -> tuple[np.ndarray, np.
     """In how many toxic and clean rows each term occurs, and how many rows of each there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, found, rows = Vocabulary(terms), np.zeros((2, len(terms)), np.int64), [0, 0]
+        counter, found, rows = TermCounter(terms), np.zeros((2, len(terms)), np.int64), [0, 0]
         for batch in batches:
-            for text, label in zip(as_texts(batch.column(1)), batch.column(0).to_pylist()):
-                number, _ = vocabulary.arrays(text_counts(text))
+            for (number, _), label in zip(counter.arrays(as_texts(batch.column(1))), batch.column(0).to_pylist()):
                 found[label, number[number >= 0]] += 1
                 rows[label] += 1
         some = np.flatnonzero(found.any(axis=0))
@@ -331,7 +383,7 @@ def build_index(examples: Examples, counts: np.ndarray, corpus_terms: int, ratio
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     index = Index(
-        Vocabulary(examples.terms), share, factor, max(corpus_terms, 1), examples.labels[order], examples.stands_for[order],
+        examples.terms, share, factor, max(corpus_terms, 1), examples.labels[order], examples.stands_for[order],
         [examples.ids[i] for i in order], Postings(place[examples.at], examples.term, weight, n, terms), prior,
     )
     if n:
@@ -370,10 +422,12 @@ def score_column(index: Index):
     shared = index
 
     @F.pandas_udf("score double, evidence array<struct<example: string, toxic: int, cosine: double>>")
-    def scored(texts: pd.Series) -> pd.DataFrame:
-        out = shared.scores([t or "" for t in texts])
-        evidence = [[{"example": str(shared.ids[a]), "toxic": int(shared.labels[a]), "cosine": float(c)} for a, c in zip(at[:3].tolist(), near[:3].tolist())] for _, at, near in out]
-        return pd.DataFrame({"score": [s for s, _, _ in out], "evidence": evidence})
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        counter = TermCounter(shared.terms)
+        for texts in batches:
+            out = shared.scores([t or "" for t in texts], counter)
+            evidence = [[{"example": str(shared.ids[a]), "toxic": int(shared.labels[a]), "cosine": float(c)} for a, c in zip(at[:3].tolist(), near[:3].tolist())] for _, at, near in out]
+            yield pd.DataFrame({"score": [s for s, _, _ in out], "evidence": evidence})
 
     return scored
 

@@ -468,6 +468,22 @@ def test_copies_of_examples_meet_at_cosine_one(spark):
         assert got[copy]["evidence"][0]["cosine"] == pytest.approx(1)
 
 
+def test_hashed_terms_are_the_terms(monkeypatch):
+    """Terms counted by hash, texts together, are those that strings give for each text alone; scoring makes no strings."""
+    rng = random.Random(8)
+    words = ["river", "Rivers", "riverside", "ÜBER", "übermorgen", "K\u212aelvin", "a", "abcdefgh", "x9y", "don't", "ſtart", "İx", "ΣΑΣ", "\U0001d504bc", "\u4f60\u597d", "\ud800"]
+    texts = ["", " .,\n", "river " * 5, *[" ".join(rng.choice(words) for _ in range(rng.randrange(40))) for _ in range(200)], "Word" * 3000, "abcd abcde abcdef", "word " * 300_000]
+    terms = sorted({"river", "rive~", "über~", "abcde~", "abcd", "abcd~", "don", "kkel~", "σας", "\U0001d504bc"})
+    number = {t: i for i, t in enumerate(terms)}
+    counter = toxicity.TermCounter(terms)
+    ordered = lambda number, tf: sorted(zip(number.tolist(), tf.tolist()))
+    assert [ordered(*x) for x in counter.arrays(texts)] == [sorted((number.get(t, -1), n) for t, n in toxicity.text_counts(text).items()) for text in texts]
+    assert list(counter.arrays([])) == [] and [ordered(*x) for x in toxicity.TermCounter([]).arrays(["a b b"])] == [[(-1, 1.0), (-1, 2.0)]]
+    monkeypatch.setattr(toxicity, "text_counts", None)
+    index = toxicity.build_index(toxicity.Examples([1], np.ones(1), np.ones(1), ["river"], np.zeros(1, np.int64), np.zeros(1, np.int64), np.ones(1)), np.ones(1), 10, np.zeros(1), 0.5)
+    assert [at.tolist() for _, at, _ in index.scores(["river", "x"])] == [[0], []]
+
+
 def test_toxicity_without_labels(spark):
     docs, _ = labelled(spark, 20)
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
